@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontam, lengths, linedup, packing, rules, secrets, simhash, warc
 
 QUERIES = {
+    "op1_decontaminate": decontam.op1_decontaminate,
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
+    "op5_token_histogram": lengths.op5_token_histogram,
+    "op7_pack": packing.op7_pack,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_quality_rules": rules.op9_quality_rules,
+    "op10_line_dedup": linedup.op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": decontam.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op8_secrets": secrets.ORACLE,
+    "op9_quality_rules": rules.ORACLE,
+}
