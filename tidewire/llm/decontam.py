@@ -33,9 +33,8 @@ BLOCK = 200_000
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words of letters and digits; null and empty texts have none."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[^\p{L}\p{N}]+"))
+    """Lower-case words of letters and digits, with an empty one where the text begins or ends otherwise."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def _seed(words: str, at: str, mask: str, number: int) -> str:
@@ -68,24 +67,30 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     repeated rows with one id count as one; other columns are ignored; empty
     tables give no rows.  Clean documents do not appear.
     """
-    items = stage(bench.select("item_id", words_of(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SHORTEST).distinct(), "items")
+    items = stage(bench.select("item_id", F.filter(words_of(F.col("text")), lambda x: x != "").alias("item_words")).filter(F.size("item_words") >= SHORTEST).distinct(), "items")
     masks = _masks(items)
     seeds = _seeds(items, "item_words", masks, "j", True)
-    seeds = stage(seeds.select("seed", "item_id", "j", "item_words").withColumn("block", F.monotonically_increasing_id()), "seeds")
+    seeds = stage(seeds.select("seed", "item_id", "j", F.array_join("item_words", " ").alias("item")).withColumn("block", F.monotonically_increasing_id()), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK))
-    d = docs.select("doc_id", words_of(F.col("text")).alias("doc_words")).filter(F.size("doc_words") >= SHORTEST)
+    d = docs.select("doc_id", words_of(F.col("text")).alias("doc_words"))
     at = _seeds(d, "doc_words", masks, "i")
     found = []
     for b in range(blocks):
         part = seeds.filter(F.pmod(F.xxhash64("block"), F.lit(blocks)) == b).drop("block") if blocks > 1 else seeds.drop("block")
         found.append(at.join(F.broadcast(part), "seed"))
     hits = reduce(DataFrame.unionByName, found)
-    # the run: words s .. s + len - 1 of the item against the same of the document, shifted by i - j
+    # Only the words around a hit go on.  They are staged, as the filter below would otherwise move into the join
+    # and take it, and with it the seeds, out of generated code.
+    low = F.expr(f"greatest(0, j - {RUN - SPAN}, j - i)")
+    near = F.expr(f"array_join(slice(doc_words, i - j + greatest(0, j - {RUN - SPAN}, j - i) + 1, {2 * RUN}), ' ')")
+    hits = stage(hits.select("doc_id", "item_id", "i", "j", "item", near.alias("near")), "hits")
+    hits = hits.select("doc_id", "item_id", "j", low.alias("lo"), (F.col("i") - F.col("j")).alias("by"), F.split("item", " ").alias("item_words"), F.split("near", " ").alias("near"))
     hits = hits.withColumn("len", F.least(F.lit(RUN), F.size("item_words")))
-    hits = hits.withColumn("lo", F.expr(f"greatest(0, j - {RUN - SPAN}, j - i)")).withColumn("hi", F.expr("least(j, size(item_words) - len, size(doc_words) - len - i + j)"))
+    hits = hits.withColumn("hi", F.expr("least(j, size(item_words) - len, size(near) - len + lo)"))
+    # the run: words s .. s + len - 1 of the item against the same of the document, shifted
     best = """array_max(transform(sequence(lo, hi), s -> named_struct(
-        'matched', size(filter(sequence(0, len - 1), k -> get(item_words, s + k) = get(doc_words, i - j + s + k))),
-        'compared', len, 'doc_word', j - i - s, 'item_word', -s)))"""
+        'matched', size(filter(sequence(0, len - 1), k -> get(item_words, s + k) = get(near, s - lo + k))),
+        'compared', len, 'doc_word', - by - s, 'item_word', -s)))"""
     hits = hits.withColumn("best", F.when(F.col("lo") <= F.col("hi"), F.expr(best)))
     hits = hits.filter(F.col("best.matched") >= F.ceil(F.lit(AGREE) * F.col("best.compared")))
     top = hits.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
@@ -102,8 +107,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_WORDS = r"""CASE WHEN regexp_replace(lower(coalesce(text, '')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') = '' THEN []
-  ELSE string_split_regex(regexp_replace(lower(coalesce(text, '')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), '[^\p{L}\p{N}]+') END"""
+_WORDS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')"
 
 
 def _key(words: str, at: str, mask: str) -> str:
@@ -112,7 +116,7 @@ def _key(words: str, at: str, mask: str) -> str:
 
 #: The same for items of SPAN words or more.
 ORACLE = f"""
-WITH b AS (SELECT item_id, {_WORDS} AS iw FROM benchmark),
+WITH b AS (SELECT item_id, list_filter({_WORDS}, lambda x: x <> '') AS iw FROM benchmark),
 d AS (SELECT doc_id, {_WORDS} AS dw FROM documents),
 bs AS ({" UNION ALL ".join(f"SELECT {n} AS m, item_id, iw, j, {_key('iw', 'j', m)} AS seed FROM (SELECT *, unnest(range(0, len(iw) - {SPAN - 1})) AS j FROM b)" for n, m in enumerate(MASKS))}),
 ds AS ({" UNION ALL ".join(f"SELECT {n} AS m, doc_id, dw, i, {_key('dw', 'i', m)} AS seed FROM (SELECT *, unnest(range(0, len(dw) - {SPAN - 1})) AS i FROM d)" for n, m in enumerate(MASKS))}),
