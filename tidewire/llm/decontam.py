@@ -4,12 +4,13 @@ Texts are lower-cased and cut into words of letters and digits.  A seed is a
 fixed mask over ``SPAN`` words that reads ``WEIGHT`` of them and ignores the
 rest, so a hit survives substitutions at ignored places.  Seeds of benchmark
 items are joined with those of documents, and around each hit the aligned words
-are compared: an overlap counts if some run of ``RUN`` aligned words (the whole
-item if it is shorter) agrees in ``AGREE`` of its places or more.
+are compared: an overlap counts if, in the alignment of some hit, a run of
+``RUN`` words (the whole item if it is shorter) agrees in ``AGREE`` of its places
+or more.
 
-Built-in functions only.  The masks are applied after ``explode`` of positions,
-inside generated code, and only rows that hit leave that stage, so no position
-of a document is ever shuffled.  Benchmark seeds are broadcast in blocks of at
+Built-in functions only.  The masks are applied after ``explode`` of the words,
+inside generated code and around words that a seed can have, and only rows that
+hit leave that stage, so no position of a document is ever shuffled.  Benchmark seeds are broadcast in blocks of at
 most ``BLOCK`` rows; their number does not depend on the corpus.
 """
 
@@ -48,14 +49,37 @@ def _masks(bench: DataFrame) -> list[str]:
     return [*MASKS, *("1" * r.n for r in short.orderBy("n").collect())]  # at most SPAN - SHORTEST rows
 
 
-def _seeds(df: DataFrame, words: str, masks: list[str], at: str, of_items: bool = False) -> DataFrame:
-    """A row for each position and mask, with its seed; a short item has one seed, of all its words."""
-    where = df.withColumn(at, F.explode(F.sequence(F.lit(0), F.greatest(F.size(words) - SHORTEST, F.lit(0)))))
-    seeds = [_seed(words, at, m, k) for k, m in enumerate(masks)]
-    if of_items:
-        seeds[len(MASKS) :] = [f"if(size({words}) = {len(m)}, {x}, null)" for m, x in zip(masks[len(MASKS) :], seeds[len(MASKS) :])]
-    each = ", ".join(seeds)
-    return where.withColumn("seed", F.explode(F.expr(f"array({each})"))).filter("seed is not null")
+def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+    """(seed, item_id, j, item, m, anchor, o) of every place and mask of every item; a short item has one seed, of all its words.
+
+    The anchor is the hash of the word that is rarest in the benchmark, of those
+    that the mask reads; o is its place from j.
+    """
+    seeds = [_seed("item_words", "j", m, k) for k, m in enumerate(masks)]
+    seeds[len(MASKS) :] = [f"if(size(item_words) = {len(m)}, {x}, null)" for m, x in zip(masks[len(MASKS) :], seeds[len(MASKS) :])]
+    rows = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("item_words") - SHORTEST)))
+    rows = rows.select("*", F.posexplode(F.expr(f"array({', '.join(seeds)})")).alias("m", "seed")).filter("seed is not null")
+    often = items.select(F.explode("item_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    reads = F.expr("array(" + ", ".join("array(" + ", ".join(str(k) for k, x in enumerate(m) if x == "1") + ")" for m in masks) + ")")
+    words = rows.select("seed", "item_id", "j", "m", "item_words", F.explode(F.get(reads, F.col("m"))).alias("o"))
+    words = words.withColumn("word", F.get("item_words", F.col("j") + F.col("o"))).join(often, "word")
+    best = F.min(F.struct("n", (-F.length("word")).alias("short"), "word", "o")).alias("a")
+    keys = ["seed", "item_id", "j", "m", F.size("item_words").alias("n_item"), F.array_join("item_words", " ").alias("item")]
+    return words.groupBy(*keys).agg(best).select("seed", "item_id", "j", "item", "n_item", "m", F.xxhash64("a.word").alias("anchor"), F.col("a.o").alias("o"))
+
+
+def _hits(words: DataFrame, seeds: DataFrame, masks: list[str]) -> DataFrame:
+    """Places of documents whose seed is one of ``seeds``.
+
+    A seed can only be there if its anchor is, so seeds are hashed around anchors
+    alone: most words cost one look-up.
+    """
+    anchors = seeds.select("anchor", "m", "o").distinct()
+    at = words.select("doc_id", "doc_words", F.posexplode("doc_words").alias("p", "word"))
+    near = at.join(F.broadcast(anchors), F.xxhash64("word") == F.col("anchor")).withColumn("i", F.col("p") - F.col("o")).filter("i >= 0")
+    seed = "case m " + " ".join(f"when {k} then {_seed('doc_words', 'i', m, k)}" for k, m in enumerate(masks)) + " end"
+    near = near.select("doc_id", "doc_words", "i", F.expr(seed).alias("seed"))
+    return near.join(F.broadcast(seeds.select("seed", "item_id", "j", "item", "n_item")), "seed")
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -69,24 +93,19 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """
     items = stage(bench.select("item_id", F.filter(words_of(F.col("text")), lambda x: x != "").alias("item_words")).filter(F.size("item_words") >= SHORTEST).distinct(), "items")
     masks = _masks(items)
-    seeds = _seeds(items, "item_words", masks, "j", True)
-    seeds = stage(seeds.select("seed", "item_id", "j", F.array_join("item_words", " ").alias("item")).withColumn("block", F.monotonically_increasing_id()), "seeds")
+    seeds = stage(_item_seeds(items, masks).withColumn("block", F.monotonically_increasing_id()), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK))
     d = docs.select("doc_id", words_of(F.col("text")).alias("doc_words"))
-    at = _seeds(d, "doc_words", masks, "i")
-    found = []
-    for b in range(blocks):
-        part = seeds.filter(F.pmod(F.xxhash64("block"), F.lit(blocks)) == b).drop("block") if blocks > 1 else seeds.drop("block")
-        found.append(at.join(F.broadcast(part), "seed"))
-    hits = reduce(DataFrame.unionByName, found)
-    # Only the words around a hit go on.  They are staged, as the filter below would otherwise move into the join
-    # and take it, and with it the seeds, out of generated code.
-    low = F.expr(f"greatest(0, j - {RUN - SPAN}, j - i)")
-    near = F.expr(f"array_join(slice(doc_words, i - j + greatest(0, j - {RUN - SPAN}, j - i) + 1, {2 * RUN}), ' ')")
-    hits = stage(hits.select("doc_id", "item_id", "i", "j", "item", near.alias("near")), "hits")
-    hits = hits.select("doc_id", "item_id", "j", low.alias("lo"), (F.col("i") - F.col("j")).alias("by"), F.split("item", " ").alias("item_words"), F.split("near", " ").alias("near"))
+    parts = [seeds.filter(F.pmod(F.xxhash64("block"), F.lit(blocks)) == b) if blocks > 1 else seeds for b in range(blocks)]
+    hits = reduce(DataFrame.unionByName, [_hits(d, part, masks) for part in parts])
+    # One row goes on for each alignment, with the document's words beside the item.  They are staged, as the filter
+    # below would otherwise move into the join and take it, and with it the seeds, out of generated code.
+    near = F.expr("array_join(slice(doc_words, greatest(i - j, 0) + 1, n_item + least(i - j, 0)), ' ')")
+    hits = hits.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("by"), "item", near.alias("near"))
+    hits = stage(hits.groupBy("doc_id", "item_id", "by").agg(F.max("item").alias("item"), F.max("near").alias("near")), "hits")
+    hits = hits.select("doc_id", "item_id", "by", F.greatest(F.lit(0), -F.col("by")).alias("lo"), F.split("item", " ").alias("item_words"), F.split("near", " ").alias("near"))
     hits = hits.withColumn("len", F.least(F.lit(RUN), F.size("item_words")))
-    hits = hits.withColumn("hi", F.expr("least(j, size(item_words) - len, size(near) - len + lo)"))
+    hits = hits.withColumn("hi", F.expr("lo + size(near) - len"))
     # the run: words s .. s + len - 1 of the item against the same of the document, shifted
     best = """array_max(transform(sequence(lo, hi), s -> named_struct(
         'matched', size(filter(sequence(0, len - 1), k -> get(item_words, s + k) = get(near, s - lo + k))),
@@ -120,9 +139,9 @@ WITH b AS (SELECT item_id, list_filter({_WORDS}, lambda x: x <> '') AS iw FROM b
 d AS (SELECT doc_id, {_WORDS} AS dw FROM documents),
 bs AS ({" UNION ALL ".join(f"SELECT {n} AS m, item_id, iw, j, {_key('iw', 'j', m)} AS seed FROM (SELECT *, unnest(range(0, len(iw) - {SPAN - 1})) AS j FROM b)" for n, m in enumerate(MASKS))}),
 ds AS ({" UNION ALL ".join(f"SELECT {n} AS m, doc_id, dw, i, {_key('dw', 'i', m)} AS seed FROM (SELECT *, unnest(range(0, len(dw) - {SPAN - 1})) AS i FROM d)" for n, m in enumerate(MASKS))}),
-h AS (SELECT doc_id, item_id, i, j, iw, dw, least({RUN}, len(iw)) AS n FROM bs JOIN ds USING (m, seed)),
-r AS (SELECT *, unnest(range(greatest(0, j - {RUN - SPAN}, j - i), least(j, len(iw) - n, len(dw) - n - i + j) + 1)) AS s FROM h),
-v AS (SELECT doc_id, item_id, n, i - j + s AS dword, s, len(list_filter(range(0, n), lambda k: iw[s + k + 1] = dw[i - j + s + k + 1])) AS hit FROM r)
+h AS (SELECT DISTINCT doc_id, item_id, i - j AS by_, iw, dw, least({RUN}, len(iw)) AS n FROM bs JOIN ds USING (m, seed)),
+r AS (SELECT *, unnest(range(greatest(0, -by_), least(len(iw), len(dw) - by_) - n + 1)) AS s FROM h),
+v AS (SELECT doc_id, item_id, n, by_ + s AS dword, s, len(list_filter(range(0, n), lambda k: iw[s + k + 1] = dw[by_ + s + k + 1])) AS hit FROM r)
 SELECT doc_id, item_id, hit::INTEGER AS matched, n::INTEGER AS compared, dword::INTEGER AS doc_word, s::INTEGER AS item_word
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY hit DESC, n DESC, dword, s) AS rn FROM v WHERE hit >= ceil({AGREE} * n)) WHERE rn = 1
 """
