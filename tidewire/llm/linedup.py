@@ -9,7 +9,7 @@ comes before it, in order of doc_id and place.
 
 How it is spread:
 
-1. one pass over the texts gives each line's class (hash of its set), and counts
+1. one pass over the texts gives each line's class (hash of its words), and counts
    words in a table of fixed size, which is all the order needs: whatever the
    counts, the order is the same everywhere, so the join stays exact;
 2. a second pass gives the prefixes, each class once a task; they meet by word,
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .skew import lookup
-from .storage import discard, stage, table
+from .storage import release, stage, table
 from .textnum import Words, mix, signed, slices
 
 NUM, DEN = 4, 5
@@ -54,31 +54,48 @@ def _ceil(n, num: int, den: int):
 
 
 class Lines:
-    """The lines of a slice that count, as sets of words in order of rarity."""
+    """The lines of a slice that count: place, number of words and class.
 
-    def __init__(self, column: pa.Array, codes: np.ndarray | None = None):
+    The class is a hash of the words with their repeats, in any order, so lines
+    of different classes may still be equal as sets; the join finds that.
+    """
+
+    def __init__(self, column: pa.Array):
         w = Words(column)
         if not len(w.hash):
-            for name in ("doc", "line", "n", "start", "cls", "gid", "hash", "code"):
-                setattr(self, name, np.empty(0, np.uint64 if name in ("hash", "cls") else np.int64))
+            self.doc = self.line = self.size = self.first = np.empty(0, np.int64)
+            self.cls = self.hash = np.empty(0, np.uint64)
             return
-        new = np.r_[True, (w.doc[1:] != w.doc[:-1]) | (w.line[1:] != w.line[:-1])]
-        gid = np.cumsum(new) - 1
-        words = np.bincount(gid)
-        long = (words >= MIN_WORDS)[gid]
-        doc, line, h, gid = w.doc[long], w.line[long], w.hash[long], gid[long]
-        code = codes[bucket(h)].astype(np.int64) if codes is not None else np.zeros(len(h), np.int64)
-        order = np.lexsort((h, code, gid)) if codes is not None else np.lexsort((h, gid))
-        doc, line, h, gid, code = doc[order], line[order], h[order], gid[order], code[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (gid[1:] != gid[:-1])] if len(h) else np.empty(0, bool)
-        doc, line, h, gid, code = doc[once], line[once], h[once], gid[once], code[once]
-        first = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]]) if len(h) else np.empty(0, np.int64)
-        self.start = first
-        self.doc, self.line = doc[first], line[first]
-        self.n = np.diff(np.r_[first, len(h)])
-        self.gid = np.repeat(np.arange(len(first)), self.n)
-        self.hash, self.code = h, code
-        self.cls = mix(np.add.reduceat(mix(h, 0x5BD1E995), first), 0x27D4EB2F) if len(first) else np.empty(0, np.uint64)
+        first = np.flatnonzero(np.r_[True, (w.doc[1:] != w.doc[:-1]) | (w.line[1:] != w.line[:-1])])
+        size = np.diff(np.r_[first, len(w.hash)])
+        long = size >= MIN_WORDS
+        self.hash = w.hash[np.repeat(long, size)]
+        self.size = size[long]
+        self.first = np.cumsum(self.size) - self.size
+        self.doc, self.line = w.doc[first[long]], w.line[first[long]]
+        self.cls = mix(np.add.reduceat(mix(self.hash, 0x5BD1E995), self.first), 0x27D4EB2F) if len(self.size) else np.empty(0, np.uint64)
+
+
+class Sets:
+    """The sets of words of some of the lines, each in order of rarity: hash, code, start and number ``n``."""
+
+    def __init__(self, lines: Lines, which: np.ndarray, codes: np.ndarray):
+        size = lines.size[which]
+        begin = np.cumsum(size) - size
+        at = np.repeat(lines.first[which] - begin, size) + np.arange(int(size.sum()))
+        h = lines.hash[at]
+        gid = np.repeat(np.arange(len(size)), size)
+        code = codes[bucket(h)].astype(np.uint64)
+        # line, rarity and hash in one key; equal words are neighbours, so comparing whole hashes finds repeats
+        bits = max(1, int(len(size)).bit_length())
+        key = (gid.astype(np.uint64) << np.uint64(64 - bits)) | (code << np.uint64(64 - bits - 12)) | (h >> np.uint64(bits + 12))
+        order = np.argsort(key)
+        h, code, gid = h[order], code[order], gid[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (gid[1:] != gid[:-1])
+        self.hash, self.code, self.gid = h[once], code[once].astype(np.int64), gid[once]
+        self.n = np.bincount(self.gid, minlength=len(size))
+        self.start = np.cumsum(self.n) - self.n
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -108,7 +125,7 @@ def _merged(blobs: DataFrame) -> np.ndarray:
     out = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint16)
     for r in two.collect():  # CHUNKS rows of fixed size
         count = np.frombuffer(zlib.decompress(r.counts), "<i8")
-        out[r.chunk] = np.floor(_ONCE * np.log2(1.0 + count))
+        out[r.chunk] = np.minimum(4095, np.floor(_ONCE * np.log2(1.0 + count)))
     return out.ravel()
 
 
@@ -135,7 +152,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = Lines(part.column(2))
             counts += np.bincount(bucket(x.hash), minlength=1 << BITS)
             at = pa.array(x.doc)
-            yield rows(part.column(0).take(at), part.column(1).take(at), x.line.astype(np.int32), signed(x.cls), x.n.astype(np.int32), None, None, None)
+            yield rows(part.column(0).take(at), part.column(1).take(at), x.line.astype(np.int32), signed(x.cls), x.size.astype(np.int32), None, None, None)
             each = np.bincount(x.doc, minlength=b - a).astype(np.int32) if len(x.doc) else np.zeros(b - a, np.int32)
             yield rows(part.column(0), part.column(1), np.full(b - a, -1, np.int32), None, each, None, None, None)
     got = list(_blobs(counts))
@@ -174,28 +191,31 @@ def _posting_batches(shared) -> object:
         for batch in batches:
             text = batch.column(0)
             for a, b in slices(text):
-                x = Lines(text.slice(a, b - a), codes)
-                if not len(x.n):
+                x = Lines(text.slice(a, b - a))
+                which = np.flatnonzero(memory.fresh(x.cls))
+                if not len(which):
                     continue
-                fresh = memory.fresh(x.cls)
-                i = np.arange(len(x.hash)) - x.start[x.gid]
-                probe = x.n - _ceil(x.n, NUM, DEN) + 1
-                sig = np.bitwise_or.reduceat(np.uint64(1) << (mix(x.hash, 77) >> np.uint64(58)), x.start)
-                sel = np.flatnonzero(fresh[x.gid] & (i < probe[x.gid]) & (x.code != _ONCE))
-                g = x.gid[sel]
-                tok, cls, n, i, sig = x.hash[sel], x.cls[g], x.n[g], i[sel], sig[g]
-                blocks = _blocks(x.code[sel])
+                y = Sets(x, which, codes)
+                i = np.arange(len(y.hash)) - y.start[y.gid]
+                probe = y.n - _ceil(y.n, NUM, DEN) + 1
+                bit = mix(y.hash, 77)
+                mask, upper = np.uint64(1) << (bit >> np.uint64(58)), (bit & np.uint64(1)).astype(bool)
+                low, high = (np.bitwise_or.reduceat(np.where(u, mask, np.uint64(0)), y.start) for u in (~upper, upper))
+                sel = np.flatnonzero((i < probe[y.gid]) & (y.code != _ONCE))
+                g = y.gid[sel]
+                tok, cls, n, i, low, high = y.hash[sel], x.cls[which[g]], y.n[g], i[sel], low[g], high[g]
+                blocks = _blocks(y.code[sel])
                 own = (cls % blocks.astype(np.uint64)).astype(np.int64)
                 if (blocks > 1).any():  # a copy for each block that its own is paired with
                     rep = np.repeat(np.arange(len(tok)), blocks)
                     other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    tok, cls, n, i, sig, own = tok[rep], cls[rep], n[rep], i[rep], sig[rep], own[rep]
+                    tok, cls, n, i, low, high, own = (v[rep] for v in (tok, cls, n, i, low, high, own))
                     pair = np.where(blocks[rep] > 1, (blocks[rep] << 40) | (np.minimum(own, other) << 20) | np.maximum(own, other), 0)
                 else:
                     pair = np.zeros(len(tok), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(tok)), pa.array(pair), pa.array(signed(cls)), pa.array(signed(sig)), pa.array((n << 32) | i)],
-                    ["tok", "pair", "cls", "sig", "ni"],
+                    [pa.array(signed(tok)), pa.array(pair), pa.array(signed(cls)), pa.array(signed(low)), pa.array(signed(high)), pa.array((n << 32) | i)],
+                    ["tok", "pair", "cls", "low", "high", "ni"],
                 )
 
     return run
@@ -209,14 +229,13 @@ def _set_batches(shared, wanted) -> object:
         for batch in batches:
             text = batch.column(0)
             for a, b in slices(text):
-                x = Lines(text.slice(a, b - a), codes)
-                if not len(x.n):
-                    continue
+                x = Lines(text.slice(a, b - a))
                 maybe = np.flatnonzero(want[bucket(x.cls)] > 0)
                 maybe = maybe[memory.fresh(x.cls[maybe])]
                 if not len(maybe):
                     continue
-                words = [x.hash[s : s + n].tobytes() for s, n in zip(x.start[maybe], x.n[maybe])]
+                y = Sets(x, maybe, codes)
+                words = [y.hash[s : s + n].tobytes() for s, n in zip(y.start, y.n)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x.cls[maybe])), pa.array(words, pa.binary())], ["cls", "words"])
 
     return run
@@ -261,16 +280,12 @@ def _ends(*keys: np.ndarray) -> np.ndarray:
     return np.repeat(edge[1:], np.diff(edge))
 
 
-def _likely(n1, n2, i1, i2, s1, s2):
-    """Length, position and bitmap allow a similarity of NUM / DEN; n1 <= n2."""
-    need = _ceil(n1 + n2, NUM, NUM + DEN)
-    return (np.minimum(n1 - i1, n2 - i2) >= need) & (np.bitwise_count(s1 ^ s2) <= n1 + n2 - 2 * need)
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tok, pair, cls, sig, ni sorted by (tok, pair, ni): the postings that have a likely partner."""
-    for tok, pair, cls, sig, ni in _grouped(batches, 2):
-        n, i, sig = ni >> 32, ni & 0xFFFFFFFF, sig.view(np.uint64)
+    """Postings sorted by (tok, pair, ni): those with a partner that length, position and bitmap allow."""
+    for tok, pair, cls, low, high, ni in _grouped(batches, 2):
+        n, i, low, high = ni >> 32, ni & 0xFFFFFFFF, low.view(np.uint64), high.view(np.uint64)
         end = _ends(tok, pair)
         good = np.zeros(len(tok), bool)
         live, shift = np.flatnonzero(end - np.arange(len(tok)) > 1), 1
@@ -278,9 +293,13 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             j = live + shift
             near = n[live] * DEN >= NUM * n[j]  # rows are in order of n, so a later one is no nearer
             live, j = live[near], j[near]
-            ok = _likely(n[live], n[j], i[live], i[j], sig[live], sig[j]) & (cls[live] != cls[j])
-            good[live[ok]] = True
-            good[j[ok]] = True
+            both = n[live] + n[j]
+            need = _ceil(both, NUM, NUM + DEN)
+            ok = (np.minimum(n[live] - i[live], n[j] - i[j]) >= need) & (cls[live] != cls[j])
+            a, b = live[ok], j[ok]
+            ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= (both - 2 * need)[ok]
+            good[a[ok]] = True
+            good[b[ok]] = True
             shift += 1
             live = live[live + shift < end[live]]
         sel = np.flatnonzero(good)
@@ -385,9 +404,11 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     lines = first.filter("chunk is null").select("doc_id", "th", "line_no", "cls", "n")
     classes = lines.filter("line_no >= 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"))
 
-    postings = d.select("text").mapInArrow(_posting_batches(codes), "tok long, pair long, cls long, sig long, ni long")
+    postings = d.select("text").mapInArrow(_posting_batches(codes), "tok long, pair long, cls long, low long, high long, ni long")
     met = postings.repartition("tok", "pair").sortWithinPartitions("tok", "pair", "ni")
     likely = stage(met.mapInArrow(_candidate_batches, "tok long, pair long, cls long"), "likely")
+    del postings, met
+    release(spark)
     counted = likely.select("cls").distinct().mapInArrow(_class_counts, "chunk int, part int, counts binary")
     wanted = spark.sparkContext.broadcast(_merged(counted).tobytes())
     sets = d.select("text").mapInArrow(_set_batches(codes, wanted), "cls long, words binary").groupBy("cls").agg(F.max("words").alias("words"))

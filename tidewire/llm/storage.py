@@ -7,6 +7,7 @@ executor costs a re-read and never the work that led to the table.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,5 +48,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

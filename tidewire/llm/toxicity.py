@@ -2,14 +2,17 @@
 
 The kernel compares two words by the three-letter subsequences they share, each
 weighted down for its gaps, so ``idxiot`` and ``i-d-i-o-t`` stay close to the word
-they hide.  A text's feature for a landmark word is its best kernel value over
-all its words (values under ``FLOOR`` count as FLOOR); features are mapped by the
-Nystroem factor of the landmarks' own kernel matrix and judged by a linear SVM.
-
-Landmarks are words of the training texts that speak for one class, and clean
-words that come close to them.  Training reads a bounded sample of labelled rows,
-at most ``SAMPLE`` a class; scoring reads every word of every text.  A bound that
-never lies below the kernel spares most words the full computation.
+they hide.  A word's features are its kernel values against landmark words, mapped
+by the Nystroem factor of the landmarks' own kernel matrix; a linear SVM gives it
+a margin, and a text has the margin of its worst word.  Words whose values are all
+under ``FLOOR`` have the margin of an unknown word.
+
+The SVM learns from the words of labelled texts: each counts for toxic by the
+toxic texts that hold it and, ``CAUTION`` times as heavily, for clean by the clean
+ones.  Landmarks are words that speak for toxic texts, and clean ones that come
+close.  Training reads a bounded sample of labelled rows, at most ``SAMPLE`` a
+class; scoring reads every word of every text.  A bound that never lies below the
+kernel spares most words the full computation.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import stage, table
 from .textnum import Words, mix, slices
 
 #: Labelled rows of a class that training reads, those with the smallest hash.
 SAMPLE = 5000
 #: Landmarks that speak for toxic texts, and near misses from clean ones.
 TOXIC, NEAR = 48, 16
+#: Different words that the SVM learns from, those in most texts.
+WORDS = 20_000
+CAUTION = 3.0
+#: Nats of evidence that make a word a landmark: chance gives less to any of a million words.
+EVIDENCE = 13.0
 DECAY, SPAN, FLOOR = 0.7, 6, 0.4
 LONGEST = 24
 THRESHOLD = 0.3
@@ -170,77 +178,93 @@ class Kernel:
             out[a + row[first]] = np.add.reduceat(part, first, axis=0) / np.sqrt(square[row[first]])[:, None]
         return out
 
-    def text_features(self, column: pa.Array) -> np.ndarray:
-        """For each row of a column of texts, the best value of each landmark, at least FLOOR."""
-        out = np.full((len(column), len(self.landmarks)), FLOOR, np.float32)
-        x = Letters(column)
-        if not len(x.size):
-            return out
-        good = np.flatnonzero(self.bound(x.code, x.size) > FLOOR)
-        place = np.full(len(x.size), -1)
-        place[good] = np.arange(len(good))
-        values = np.maximum(self.values(x.code[good], x.size[good]), FLOOR)
-        at = place[x.of]
-        used = at >= 0
-        np.maximum.at(out, x.doc[used], values[at[used]])
-        return out
-
 
 class Model:
     """Kernel, Nystroem map, SVM weights and the sigmoid that turns margins into scores."""
 
-    def __init__(self, kernel: Kernel, mapping: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.kernel, self.mapping, self.weights, self.bias, self.slope, self.shift = kernel, mapping, weights, bias, slope, shift
+    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
+        self.kernel, self.weights, self.bias, self.slope, self.shift = kernel, weights, bias, slope, shift
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        margin = (features - FLOOR) @ self.mapping @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def margins(self, column: pa.Array) -> np.ndarray:
+        """The largest margin of any word of each text, or the bias."""
+        out = np.full(len(column), self.bias)
+        x = Letters(column)
+        if not len(x.size):
+            return out
+        good = np.flatnonzero(self.kernel.bound(x.code, x.size) > FLOOR)
+        values = self.kernel.values(x.code[good], x.size[good])
+        margin = np.full(len(x.size), self.bias)
+        margin[good] = np.where(values.max(1, initial=0) > FLOOR, values @ self.weights + self.bias, self.bias)
+        used = np.flatnonzero(margin[x.of] > self.bias)
+        np.maximum.at(out, x.doc[used], margin[x.of[used]])
+        return out
+
+    def score(self, column: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -30, 30)))
 
 
 def _nystroem(kernel: Kernel) -> np.ndarray:
     k = kernel.values(*encode(kernel.landmarks)).astype(np.float64)
     value, vector = np.linalg.eigh((k + k.T) / 2)
-    value = np.maximum(value, 0)
-    return vector * (1 / np.sqrt(value + 0.05)) @ vector.T
+    return vector * (1 / np.sqrt(np.maximum(value, 0) + 0.05)) @ vector.T
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss and balanced classes, by dual coordinate descent."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2000.0, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weighted linear SVM with squared hinge loss, by Newton steps on the primal; weights add up to one."""
     x = np.c_[x, np.ones(len(x))]
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    diag = 1 / (2 * c * weight)
-    square = (x * x).sum(1) + diag
-    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
-    rng = np.random.default_rng(0)
+    keep = np.eye(x.shape[1])
+    keep[-1, -1] = 1e-3
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return w @ keep @ w / 2 + c * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
     for _ in range(rounds):
-        moved = 0.0
-        for i in rng.permutation(len(y)):
-            g = y[i] * (x[i] @ w) - 1 + diag[i] * alpha[i]
-            new = max(alpha[i] - g / square[i], 0)
-            if new != alpha[i]:
-                moved = max(moved, abs(new - alpha[i]))
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
-        if moved < 1e-3:
+        slack = 1 - y * (x @ w)
+        on = slack > 0
+        g = keep @ w - 2 * c * x[on].T @ (weight[on] * y[on] * slack[on])
+        h = keep + 2 * c * (x[on] * weight[on, None]).T @ x[on]
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-4:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w[:-1], float(w[-1])
 
 
 def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the score, by Newton steps on the log loss with smoothed targets."""
+    """Slope and shift of the score, by Newton steps on the log loss with smoothed targets and balanced classes."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(y > 0, 1 / max(1, pos), 1 / max(1, neg))
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        s = p * (1 - p) + 1e-9
+        r, s = weight * (p - target), weight * (p * (1 - p) + 1e-6)
+        g = np.array([(r * margin).sum() + 1e-3 * (a - 1), r.sum()])
         h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(a), 1e-3), float(b)
+    return max(float(a), 1e-2), float(b)
+
+
+def learn(landmarks: list[str], words: list[tuple[str, int, int]], totals: dict[int, int]) -> Model:
+    """The model but for its sigmoid, from (word, toxic texts, clean texts) and the texts of each class."""
+    kernel = Kernel(landmarks)
+    values = kernel.values(*encode([w for w, _, _ in words]))
+    use = values.max(1, initial=0) > FLOOR
+    x = values[use].astype(np.float64) @ (mapping := _nystroem(kernel))
+    t, c = (np.array([w[k] for w in words], float)[use] for k in (1, 2))
+    # smoothed counts as shares of their class; an unknown word, at the origin, counts as a clean one
+    share = np.r_[t / max(1, totals[1]), CAUTION * c / max(1, totals[0]), 0.05]
+    x2 = np.concatenate([x, x, np.zeros((1, x.shape[1]))])
+    y = np.r_[np.ones(len(t)), -np.ones(len(c)), -1]
+    some = share > 0
+    weights, bias = _svm(x2[some], y[some], share[some] / share.sum())
+    return Model(kernel, mapping @ weights, bias)
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,26 +282,27 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.char.decode(names[word[ok]]), pa.string()), pa.array(label[doc[ok]], pa.int32())], ["word", "label"])
 
 
-def _feature_batches(shared) -> object:
+def _near_batches(shared) -> object:
+    """(word, t, c): the words that a landmark may resemble."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = pickle.loads(shared.value)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                f = kernel.text_features(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in f], pa.binary())], ["label", "features"])
+            for a in range(0, len(batch), 20_000):
+                part = batch.slice(a, 20_000)
+                yield part.filter(pa.array(kernel.bound(*encode(part.column(0).to_pylist())) > FLOOR))
 
     return run
 
 
-def _score_batches(shared) -> object:
+def _model_batches(shared, name: str, scored: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                s = model.score(model.kernel.text_features(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+                got = model.score(part.column(1)) if scored else model.margins(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], [name, "score"])
 
     return run
 
@@ -285,15 +310,23 @@ def _score_batches(shared) -> object:
 def _landmarks(counts: list, totals: dict[int, int]) -> list[str]:
     """Words that speak most for toxic texts and differ from each other, then clean words that come nearest."""
     toxic, clean = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
+    prior = toxic / (toxic + clean)
+
+    def evidence(r) -> float:
+        """Log likelihood gained by giving the word its own share of toxic texts; 0 unless that is above the prior."""
+        n = r.t + r.c
+        share = r.t / n
+        return 0.0 if share <= prior else r.t * np.log(share / prior) + (r.c * np.log((1 - share) / (1 - prior)) if r.c else 0.0)
+
     odds = {r.word: np.log((r.t + 0.5) / (toxic + 1)) - np.log((r.c + 0.5) / (clean + 1)) for r in counts}
-    strong = sorted((r for r in counts if r.t >= 3 and odds[r.word] > 1.5), key=lambda r: (-odds[r.word] * np.sqrt(r.t), r.word))[:600]
+    strong = sorted((r for r in counts if r.t >= 3 and odds[r.word] > 1.5 and evidence(r) > EVIDENCE), key=lambda r: (-odds[r.word] * np.sqrt(r.t), r.word))[:600]
     picked: list[str] = []
     if strong:
         words = [r.word for r in strong]
         alike = Kernel(words).values(*encode(words))
         chosen: list[int] = []
         for k in range(len(words)):
-            if not chosen or alike[k, chosen].max() < 0.85:
+            if not chosen or alike[k, chosen].max() < 0.7:
                 chosen.append(k)
             if len(chosen) == TOXIC:
                 break
@@ -319,26 +352,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     totals = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
     if len(totals) < 2:
         return None
-    words = sample.mapInArrow(_word_batches, "word string, label int").groupBy("word").agg(
-        F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    words = stage(sample.mapInArrow(_word_batches, "word string, label int").groupBy("word").agg(
+        F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1)) - F.log((F.col("c") + 0.5) / (totals[0] + 1))
     strong = words.filter("t >= 3").orderBy(F.desc(weight * F.sqrt("t")), "word").limit(1000).collect()
-    common = words.filter("c >= 3 and c > t").orderBy(F.desc("c"), "word").limit(20_000).collect()
+    common = words.filter("c >= 3 and c > t").orderBy(F.desc("c"), "word").limit(WORDS).collect()
     landmarks = _landmarks([*{r.word: r for r in [*strong, *common]}.values()], totals)
     if not landmarks:
         return None
-    kernel = Kernel(landmarks)
-    shared = spark.sparkContext.broadcast(pickle.dumps(kernel))
-    rows = sample.mapInArrow(_feature_batches(shared), "label int, features binary").collect()  # 2 * SAMPLE rows at most
-    y = np.array([1.0 if r.label else -1.0 for r in rows])
-    x = np.array([np.frombuffer(r.features, np.float32) for r in rows]).astype(np.float64)
-    order = np.lexsort((*x.T[:4], y))
-    x, y = x[order], y[order]
-    mapping = _nystroem(kernel)
-    mapped = (x - FLOOR) @ mapping
-    weights, bias = _svm(mapped, y)
-    slope, shift = _sigmoid(mapped @ weights + bias, y)
-    return Model(kernel, mapping, weights, bias, slope, shift)
+    shared = spark.sparkContext.broadcast(pickle.dumps(Kernel(landmarks)))
+    near = words.mapInArrow(_near_batches(shared), words.schema).orderBy(F.desc(F.col("t") + F.col("c")), "word").limit(WORDS).collect()
+    model = learn(landmarks, [(r.word, r.t, r.c) for r in near], totals)
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    rows = sample.mapInArrow(_model_batches(shared, "label", False), "label int, score double").collect()  # 2 * SAMPLE rows at most
+    rows = sorted((r.score, r.label) for r in rows)
+    model.slope, model.shift = _sigmoid(np.array([s for s, _ in rows]), np.array([1.0 if k else -1.0 for _, k in rows]))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -350,7 +379,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select("doc_id", F.lit(0.5).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    return docs.select("doc_id", "text").mapInArrow(_score_batches(shared), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(_model_batches(shared, "doc_id", True), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
