@@ -35,15 +35,20 @@ TOXIC, NEAR = 48, 16
 #: Different words that the SVM learns from, those in most texts.
 WORDS = 20_000
 CAUTION = 3.0
+#: Weight of a toxic landmark's disguises, with a letter put in, beside its own.
+DISGUISE = 0.5
 #: Nats of evidence that make a word a landmark: chance gives less to any of a million words.
 EVIDENCE = 13.0
 DECAY, SPAN, FLOOR = 0.7, 6, 0.4
-LONGEST = 24
+LONGEST = 24  # with both edges
+_LETTERS = LONGEST - 2
 THRESHOLD = 0.3
 
 _CODE = np.full(256, 255, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(26)
-_CODE[128:] = 26 + np.arange(128) % 5
+_CODE[128:] = 26 + np.arange(128) % 4
+#: Stands before and after each word, so that its beginning and end count.
+_EDGE = 30
 _STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -77,16 +82,15 @@ class Letters:
                 if len(run) >= 4:
                     extra_code.append(letter[begin[run]])
                     extra_doc.append(doc[run[0]])
-        for t in np.flatnonzero(size > LONGEST):
-            for a in range(0, int(size[t]), LONGEST // 2):
-                extra_code.append(letter[begin[t] + a : begin[t] + min(a + LONGEST, size[t])])
-                extra_doc.append(doc[t])
+        for t in np.flatnonzero(size > _LETTERS):
+            extra_code.append(letter[begin[t] : begin[t] + size[t]])
+            extra_doc.append(doc[t])
         flat_code, flat_doc = [], []
         for c, d in zip(extra_code, extra_doc):
-            for a in range(0, max(1, len(c) - LONGEST // 2), LONGEST // 2):
-                flat_code.append(c[a : a + LONGEST])
+            for a in range(0, max(1, len(c) - _LETTERS // 2), _LETTERS // 2):
+                flat_code.append(c[a : a + _LETTERS])
                 flat_doc.append(d)
-        normal = np.flatnonzero((size >= 3) & (size <= LONGEST))
+        normal = np.flatnonzero((size >= 3) & (size <= _LETTERS))
         if flat_code:
             more = np.array([len(c) for c in flat_code])
             letter = np.concatenate([letter, *flat_code])
@@ -97,16 +101,17 @@ class Letters:
             begin, size, self.doc = begin[normal], size[normal], doc[normal]
         grid = np.full((len(size), LONGEST), 31, np.uint8)
         if len(size):
-            col = np.arange(LONGEST)
+            col = np.arange(_LETTERS)
             at = begin[:, None] + col
             ok = col < size[:, None]
-            grid[ok] = letter[at[ok]]
+            grid[:, 1:-1][ok] = letter[at[ok]]
+            grid[:, 0] = grid[np.arange(len(size)), size + 1] = _EDGE
         h = np.zeros(len(size), np.uint64)
         wide = grid.view(np.uint64).reshape(len(size), -1) if len(size) else np.empty((0, 3), np.uint64)
         for k in range(wide.shape[1]):
             h = mix(h ^ wide[:, k], k + 1)
         _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
-        self.code, self.size = grid[first].astype(np.int32), size[first]
+        self.code, self.size = grid[first].astype(np.int32), size[first] + 2
 
 
 def _triples(code: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -134,12 +139,12 @@ def _features(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of given words, their first LONGEST letters."""
+    """Codes of given words, of as many letters as fit."""
     grid = np.full((len(words), LONGEST), 31, np.int32)
     size = np.zeros(len(words), np.int64)
     for k, word in enumerate(words):
         c = _CODE[np.frombuffer(word.encode(), np.uint8)]
-        c = c[c != 255][:LONGEST]
+        c = np.r_[_EDGE, c[c != 255][:_LETTERS], _EDGE]
         grid[k, : len(c)] = c
         size[k] = len(c)
     return grid, size
@@ -234,10 +239,10 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2000.0, ro
 
 
 def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the score, by Newton steps on the log loss with smoothed targets and balanced classes."""
+    """Slope and shift of the score, by Newton steps on the log loss with smoothed targets."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(y > 0, 1 / max(1, pos), 1 / max(1, neg))
+    weight = np.full(len(y), 1 / len(y))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
@@ -251,9 +256,17 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-2), float(b)
 
 
+def disguised(word: str) -> list[str]:
+    """The word with one letter put in, anywhere inside."""
+    return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in "xe"]
+
+
 def learn(landmarks: list[str], words: list[tuple[str, int, int]], totals: dict[int, int]) -> Model:
     """The model but for its sigmoid, from (word, toxic texts, clean texts) and the texts of each class."""
     kernel = Kernel(landmarks)
+    known = {w: t for w, t, c in words if t / max(1, totals[1]) > CAUTION * c / max(1, totals[0])}
+    extra = [(v, DISGUISE * known[w] / (2 * len(w) - 2), 0) for w in landmarks if w in known and len(w) > 3 for v in disguised(w)]
+    words = [*words, *extra]
     values = kernel.values(*encode([w for w, _, _ in words]))
     use = values.max(1, initial=0) > FLOOR
     x = values[use].astype(np.float64) @ (mapping := _nystroem(kernel))
@@ -276,9 +289,9 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = Letters(part.column(1))
             pairs = np.unique(x.doc.astype(np.int64) * (len(x.size) + 1) + x.of)
             doc, word = pairs // (len(x.size) + 1), pairs % (len(x.size) + 1)
-            plain = (x.code < 26).sum(1) == x.size  # landmarks are written in a-z; other letters are compared by code
+            plain = (x.code < 26).sum(1) == x.size - 2  # landmarks are written in a-z; other letters are compared by code
             ok = plain[word]
-            names = np.where(x.code < 26, x.code + 97, 0).astype(np.uint8).view(f"S{LONGEST}").ravel()
+            names = np.ascontiguousarray(np.where(x.code < 26, x.code + 97, 0)[:, 1:].astype(np.uint8)).view(f"S{LONGEST - 1}").ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.char.decode(names[word[ok]]), pa.string()), pa.array(label[doc[ok]], pa.int32())], ["word", "label"])
 
 
