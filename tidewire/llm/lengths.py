@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .packing import _tokenizer_path, _word_ids
 from .storage import table
+from .textnum import slices
 
 #: Lengths that one partition of the suffix sums holds.
 SPREAD = 1024
@@ -24,9 +25,9 @@ def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(path).ids
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                n = [len(encode(t or "")) // 4 for t in part.column(1).to_pylist()]
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
+                n = [len(ids) // 4 for ids in encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return run

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import table
+from .textnum import slices
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their ids by each Python worker.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def _tokenizer_path() -> str:
@@ -40,7 +41,8 @@ class WordIds:
 
     The cut below is the tokenizer's own; it is used for texts of characters
     below U+0250 without ``<|``, where normalising is only lower-casing.  Other
-    texts go to the tokenizer whole.
+    texts go to the tokenizer whole.  Words that are not in the cache are encoded
+    together; each ends with the one id whose token closes a word.
     """
 
     def __init__(self, path: str):
@@ -49,25 +51,35 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.odd = regex.compile(r"[^\x00-ɏ]|<\|").search
+        self.odd = regex.compile(r"[^\x00-\u024f]|<\|").search
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.odd(text):
-            return self._encode(text)
-        known, out = self.words, []
-        for w in self.cut(text.lower()):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                got = known[w] = self._encode(w)
-            out.append(got)
-        return b"".join(out)
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(words):
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            self.words.update(zip(words, [raw[a:b] for a, b in zip([0, *at], at)]))
+        else:
+            self.words.update((w, self._encode(w)) for w in words)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        odd, cut, known = self.odd, self.cut, self.words
+        cuts = [None if odd(t) else cut(t.lower()) for t in texts]
+        new = list(dict.fromkeys(w for c in cuts if c for w in c if w not in known))
+        for a in range(0, len(new), 5000):
+            self._learn(new[a : a + 5000])
+        get = known.__getitem__
+        return [self._encode(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts)]
 
 
 @lru_cache(maxsize=2)
@@ -82,11 +94,11 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(path).ids
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
+                for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
                     for k, s in enumerate(range(0, len(ids), size)):
                         own = ids[s : s + size]
                         rows.append(i)
