@@ -104,17 +104,33 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 # -- counting in a table of fixed size --------------------------------------
 
+def _pack(at: np.ndarray, count: np.ndarray) -> bytes:
+    return zlib.compress(at.astype("<i4").tobytes() + count.astype("<i8").tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(blob)
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<i8", n, 4 * n)
+
+
 def _blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    for k, part in enumerate(np.split(counts, CHUNKS)):
-        if part.any():
-            yield k, zlib.compress(part.astype("<i8").tobytes(), 1)
+    """The entries that aren't zero, chunk by chunk."""
+    at = np.flatnonzero(counts)
+    edge = np.searchsorted(at, np.arange(CHUNKS + 1) * ((1 << BITS) // CHUNKS))
+    for k in range(CHUNKS):
+        own = at[edge[k] : edge[k + 1]]
+        if len(own):
+            yield k, _pack(own - k * ((1 << BITS) // CHUNKS), counts[own])
 
 
 def _add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << BITS) // CHUNKS, np.int64)
     for blob in frame["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), "<i8")
-    return pd.DataFrame({"chunk": [int(key[0])], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+        at, count = _unpack(blob)
+        total[at] += count
+    at = np.flatnonzero(total)
+    return pd.DataFrame({"chunk": [int(key[0])], "part": [0], "counts": [_pack(at, total[at])]})
 
 
 def _merged(blobs: DataFrame) -> np.ndarray:
@@ -124,8 +140,8 @@ def _merged(blobs: DataFrame) -> np.ndarray:
     two = one.groupBy("chunk").applyInPandas(_add, schema)
     out = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint16)
     for r in two.collect():  # CHUNKS rows of fixed size
-        count = np.frombuffer(zlib.decompress(r.counts), "<i8")
-        out[r.chunk] = np.minimum(4095, np.floor(_ONCE * np.log2(1.0 + count)))
+        at, count = _unpack(r.counts)
+        out[r.chunk, at] = np.minimum(4095, np.floor(_ONCE * np.log2(1.0 + count)))
     return out.ravel()
 
 
@@ -150,7 +166,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in slices(text):
             part = batch.slice(a, b - a)
             x = Lines(part.column(2))
-            counts += np.bincount(bucket(x.hash), minlength=1 << BITS)
+            np.add.at(counts, bucket(x.hash), 1)
             at = pa.array(x.doc)
             yield rows(part.column(0).take(at), part.column(1).take(at), x.line.astype(np.int32), signed(x.cls), x.size.astype(np.int32), None, None, None)
             each = np.bincount(x.doc, minlength=b - a).astype(np.int32) if len(x.doc) else np.zeros(b - a, np.int32)
@@ -244,7 +260,7 @@ def _set_batches(shared, wanted) -> object:
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        counts += np.bincount(bucket(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), minlength=1 << BITS)
+        np.add.at(counts, bucket(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), 1)
     got, share = list(_blobs(counts)), TaskContext.get().partitionId() % 256
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([share] * len(got), pa.int32()), pa.array([c for _, c in got], pa.binary())], ["chunk", "part", "counts"])
 
@@ -283,8 +299,10 @@ def _ends(*keys: np.ndarray) -> np.ndarray:
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (tok, pair, ni): those with a partner that length, position and bitmap allow."""
-    for tok, pair, cls, low, high, ni in _grouped(batches, 2):
+    """Postings sorted by tok: those with a partner that length, position and bitmap allow."""
+    for cols in _grouped(batches, 1):
+        order = np.lexsort((cols[5], cols[1], cols[0]))
+        tok, pair, cls, low, high, ni = (c[order] for c in cols)
         n, i, low, high = ni >> 32, ni & 0xFFFFFFFF, low.view(np.uint64), high.view(np.uint64)
         end = _ends(tok, pair)
         good = np.zeros(len(tok), bool)
@@ -405,7 +423,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     classes = lines.filter("line_no >= 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"))
 
     postings = d.select("text").mapInArrow(_posting_batches(codes), "tok long, pair long, cls long, low long, high long, ni long")
-    met = postings.repartition("tok", "pair").sortWithinPartitions("tok", "pair", "ni")
+    met = postings.repartition("tok", "pair").sortWithinPartitions("tok")
     likely = stage(met.mapInArrow(_candidate_batches, "tok long, pair long, cls long"), "likely")
     del postings, met
     release(spark)

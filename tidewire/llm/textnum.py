@@ -111,7 +111,7 @@ class Words:
         total[0] = 0
         np.cumsum(_BYTE[data] * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        self.doc = np.searchsorted(off, self.start, "right") - 1
+        self.doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(self.start, off)))
         breaks = np.empty(n + 1, np.int64)
         breaks[0] = 0
         np.cumsum(data == 10, out=breaks[1:])
