@@ -359,7 +359,7 @@ _TF = " + ".join(f"coalesce(({n}.0 / nullif((SELECT sum(len(list_filter(w, lambd
 
 @query("fulltext_tfidf", f"WITH {D} SELECT id, time, score FROM (SELECT id, t AS time, round({_TF}, 9) AS score FROM d WHERE {_FOUND}) ORDER BY score DESC, id DESC LIMIT 30")
 def fulltext_tfidf(spark, sf_dir):
-    out = search.full_text(tables.documents(spark, sf_dir), "the AND (edited OR thing OR edst) NOT scum", "text", 1_000_000_000, "TF_IDF")[0]
+    out = search.full_text(tables.documents(spark, sf_dir), "the AND (edited OR thing OR edst) NOT scum", "text", None, "TF_IDF")[0]
     return out.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), F.desc("id")).limit(30)
 
 
@@ -410,7 +410,7 @@ SELECT value, score, n, latest_time, latest_id FROM (SELECT u AS value, round(CA
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = tables.events(spark, sf_dir)
-        out = model.score(s, [(_model(s), 1.0)], "user", _FEATURES, 1_000_000_000, bounds=(LOW + 20 * DAY, HIGH), numerator_scalars=(1.0, 0.5), strategy=strategy, numerator_strategy="REGRESSION_WEIGHTED")
+        out = model.score(s, [(_model(s), 1.0)], "user", _FEATURES, None, bounds=(LOW + 20 * DAY, HIGH), numerator_scalars=(1.0, 0.5), strategy=strategy, numerator_strategy="REGRESSION_WEIGHTED")
         return out.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.desc("latest_id"), "value").limit(20)
 
 

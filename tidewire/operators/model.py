@@ -118,12 +118,12 @@ def combine(scores: list[Column], strategy: str, n: int) -> Column:
 
 
 def score(
-    s: Stream, models: list[tuple[DataFrame, float]], field: str, features: list[Feature], k: int, constraint: Filter = MATCH_ALL, bounds=ALL_TIME,
+    s: Stream, models: list[tuple[DataFrame, float]], field: str, features: list[Feature], k: int | None, constraint: Filter = MATCH_ALL, bounds=ALL_TIME,
     numerator_scalars: tuple[float, ...] = (1.0,), strategy: str = "UNIT_WEIGHTED", numerator_strategy: str = "UNIT_WEIGHTED",
     feature_scalars: dict[str, float] | None = None, authz: list[str] | None = None, unread: DataFrame | None = None, unread_only: bool = False,
     gather: tuple[str, ...] = (), nil: float = 0.0001, explain: bool = False,
 ) -> DataFrame:
-    """(value, score, n, latest_time, latest_id, ...): the ``k`` best values of ``field`` by models and their weights.
+    """(value, score, n, latest_time, latest_id, ...): the ``k`` best values of ``field`` (all if None) by models and their weights.
 
     A tuple scores numerator / denominator, at most 1; a feature its best tuple
     times its scalar; features, models and numerators are combined in turn.
@@ -164,6 +164,7 @@ def score(
     scaled = [F.col(f"s{i}") * F.lit(x) for i, x in enumerate(numerator_scalars)]
     merged = merged.withColumn("score", combine(scaled, numerator_strategy, len(numerator_scalars)))
     out = info.join(merged, "value", "left").withColumn("score", F.when(F.col("score") > nil, F.col("score")).otherwise(F.lit(0.0)))
-    out = out.orderBy(F.desc("score"), F.desc("latest.id"), "value").limit(k)
+    out = out.orderBy(F.desc("score"), F.desc("latest.id"), "value")
+    out = out if k is None else out.limit(k)
     extra = [F.col(f"latest.g_{g}").alias(g) for g in gather] + (["unread"] if unread is not None else []) + (["features"] if explain else [])
     return out.select("value", "score", "n", F.col("latest.time").alias("latest_time"), F.col("latest.id").alias("latest_id"), *extra)

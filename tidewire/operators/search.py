@@ -16,10 +16,10 @@ def _times(s: Stream, field: str, word: str) -> Column:
 
 
 def full_text(
-    s: Stream, query: str, default_field: str, k: int, strategy: str = "TIME", bounds=ALL_TIME, constraints=NO_FILTER,
+    s: Stream, query: str, default_field: str, k: int | None, strategy: str = "TIME", bounds=ALL_TIME, constraints=NO_FILTER,
     authz: list[str] | None = None, locale: str = "en", use_stop_words: bool = False, max_wildcards: int | None = None, gather: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """The best ``k`` rows (id, time, score, gathered fields), and one row with the number of all that match.
+    """The best ``k`` rows (id, time, score, gathered fields), all of them if it is None, and one row with the number of all that match.
 
     TIME scores 0 and takes the newest.  TF_IDF adds up, for each query term with
     any occurrence, net occurrences in the query / occurrences in the collection
@@ -55,4 +55,5 @@ def full_text(
     else:
         raise ValueError(f"no strategy {strategy}")
     cols = ["id", "time", "score", *(base.values(g).alias(g) for g in gather)]
-    return scored.select(*cols).orderBy(F.desc("score"), F.desc("id")).limit(k), found
+    ranked = scored.select(*cols).orderBy(F.desc("score"), F.desc("id"))
+    return ranked if k is None else ranked.limit(k), found
