@@ -138,13 +138,19 @@ def _features(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return uniq >> 15, uniq & 0x7FFF, total
 
 
+def spell(code: np.ndarray) -> np.ndarray:
+    """Rows of codes as words: a-z, and four more characters for the bytes of other letters."""
+    inner = np.where(code < _EDGE, code + 97, 0)[:, 1:].astype(np.uint8)
+    return np.char.decode(np.ascontiguousarray(inner).view(f"S{LONGEST - 1}").ravel())
+
+
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of given words, of as many letters as fit."""
+    """Codes of words written by spell(), of as many letters as fit."""
     grid = np.full((len(words), LONGEST), 31, np.int32)
     size = np.zeros(len(words), np.int64)
     for k, word in enumerate(words):
-        c = _CODE[np.frombuffer(word.encode(), np.uint8)]
-        c = np.r_[_EDGE, c[c != 255][:_LETTERS], _EDGE]
+        c = np.frombuffer(word.encode(), np.uint8)[:_LETTERS] - 97
+        c = np.r_[_EDGE, c, _EDGE]
         grid[k, : len(c)] = c
         size[k] = len(c)
     return grid, size
@@ -289,10 +295,7 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = Letters(part.column(1))
             pairs = np.unique(x.doc.astype(np.int64) * (len(x.size) + 1) + x.of)
             doc, word = pairs // (len(x.size) + 1), pairs % (len(x.size) + 1)
-            plain = (x.code < 26).sum(1) == x.size - 2  # landmarks are written in a-z; other letters are compared by code
-            ok = plain[word]
-            names = np.ascontiguousarray(np.where(x.code < 26, x.code + 97, 0)[:, 1:].astype(np.uint8)).view(f"S{LONGEST - 1}").ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.char.decode(names[word[ok]]), pa.string()), pa.array(label[doc[ok]], pa.int32())], ["word", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(spell(x.code)[word], pa.string()), pa.array(label[doc], pa.int32())], ["word", "label"])
 
 
 def _near_batches(shared) -> object:
