@@ -14,8 +14,9 @@ How it is spread:
    counts, the order is the same everywhere, so the join stays exact;
 2. a second pass gives the prefixes, each class once a task; they meet by word,
    and only postings with a likely partner come out, never pairs;
-3. a third pass fetches the sets of those classes; pairs are verified where their
-   first common word is, and each class gets its links and its earliest partner.
+3. a third pass over the texts that hold them first fetches the sets of those
+   classes; pairs are verified where their first common word is, and each class
+   gets its links and its earliest partner.
 
 A word that would gather too many postings is dealt to blocks and pairs of blocks.
 """
@@ -46,6 +47,8 @@ CHUNKS = 64
 REMEMBER = 1_000_000
 #: Occurrences of a word for which its postings get one block; more get more blocks.
 PER_BLOCK = 1 << 20
+#: Sets that are compared pair by pair; more are compared by matrices.
+FEW = 24
 _ONCE = 64  # the code of a count of one; doubling a large count adds as much
 
 
@@ -237,13 +240,14 @@ def _posting_batches(shared) -> object:
     return run
 
 
-def _set_batches(shared, wanted) -> object:
-    """Sets of the lines whose class may be wanted, in order of rarity."""
+def _set_batches(shared, wanted, texts) -> object:
+    """th, text to sets of the lines whose class may be wanted, in order of rarity; reads only texts that may hold the first line of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, want, memory = np.frombuffer(shared.value, np.uint16), np.frombuffer(wanted.value, np.uint16), _Memory()
+        codes, want, hold, memory = *(np.frombuffer(x.value, np.uint16) for x in (shared, wanted, texts)), _Memory()
         for batch in batches:
-            text = batch.column(0)
+            th = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            text = batch.column(1).filter(pa.array(hold[bucket(th)] > 0))
             for a, b in slices(text):
                 x = Lines(text.slice(a, b - a))
                 maybe = np.flatnonzero(want[bucket(x.cls)] > 0)
@@ -340,7 +344,9 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(at) < 2:
                 continue
             at = at[np.lexsort((line[at], th[at], doc[at]))]
-            got = _links_of(np.uint64(tok[a].view(np.uint64)), [np.frombuffer(words[k], np.uint64) for k in at], cls[at].view(np.uint64), int(pair[a]))
+            sets = [np.frombuffer(words[k], np.uint64) for k in at]
+            solve = _few_links if len(at) <= FEW else _links_of
+            got = solve(np.uint64(tok[a].view(np.uint64)), sets, cls[at].view(np.uint64), int(pair[a]))
             for k, (n, p) in got.items():
                 out_cls.append(cls[at[k]])
                 out_n.append(n)
@@ -352,6 +358,26 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+def _few_links(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int) -> dict[int, tuple[int, int]]:
+    """What _links_of says, pair by pair: less work where sets are few."""
+    lists = [s.tolist() for s in sets]
+    bags = [frozenset(x) for x in lists]
+    heads = [x[: x.index(int(tok))] for x in lists]
+    two = pair and (pair >> 20 & 0xFFFFF) != (pair & 0xFFFFF)
+    side = (cls % np.uint64(pair >> 40)).tolist() if two else None
+    out: dict[int, tuple[int, int]] = {}
+    for j in range(1, len(bags)):
+        for i in range(j):
+            if two and side[i] == side[j]:
+                continue
+            common = len(bags[i] & bags[j])
+            if common * DEN >= NUM * (len(bags[i]) + len(bags[j]) - common) and bags[j].isdisjoint(heads[i]):
+                for x, y in ((i, j), (j, i)):
+                    n, first = out.get(x, (0, len(bags)))
+                    out[x] = (n + 1, min(first, y))
+    return out
+
+
 def _links_of(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int, block: int = 1024) -> dict[int, tuple[int, int]]:
     """For sets in order of place: {k: (links, first partner)}, of pairs whose first common word is ``tok``.
 
@@ -427,10 +453,10 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     likely = stage(met.mapInArrow(_candidate_batches, "tok long, pair long, cls long"), "likely")
     del postings, met
     release(spark)
-    counted = likely.select("cls").distinct().mapInArrow(_class_counts, "chunk int, part int, counts binary")
-    wanted = spark.sparkContext.broadcast(_merged(counted).tobytes())
-    sets = d.select("text").mapInArrow(_set_batches(codes, wanted), "cls long, words binary").groupBy("cls").agg(F.max("words").alias("words"))
-    at = likely.select("cls").distinct().join(classes, "cls").select("cls", "first.doc_id", "first.th", "first.line_no")
+    at = stage(likely.select("cls").distinct().join(classes, "cls").select("cls", "first.doc_id", "first.th", "first.line_no"), "firsts")
+    wanted, texts = (
+        spark.sparkContext.broadcast(_merged(at.select(c).mapInArrow(_class_counts, "chunk int, part int, counts binary")).tobytes()) for c in ("cls", "th"))
+    sets = d.select("th", "text").mapInArrow(_set_batches(codes, wanted, texts), "cls long, words binary").groupBy("cls").agg(F.max("words").alias("words"))
     full = likely.distinct().join(sets.join(at, "cls"), "cls").select("tok", "pair", "cls", "words", "doc_id", "th", "line_no")
     dealt = full.repartition("tok", "pair").sortWithinPartitions("tok", "pair")
     links = dealt.mapInArrow(_verify_batches, _LINKS).groupBy("cls").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("p_doc").alias("doc_id"), F.col("p_th").alias("th"), F.col("p_line").alias("line_no"))).alias("partner"))
