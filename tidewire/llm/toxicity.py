@@ -39,9 +39,12 @@ CAUTION = 3.0
 DISGUISE = 0.5
 #: Nats of evidence that make a word a landmark: chance gives less to any of a million words.
 EVIDENCE = 13.0
+#: Words whose margins a task keeps.
+REMEMBER = 2_000_000
 DECAY, SPAN, FLOOR = 0.7, 6, 0.4
 LONGEST = 24  # with both edges
 _LETTERS = LONGEST - 2
+WIDTHS = (7, 9, 11, 13, 16, LONGEST)
 THRESHOLD = 0.3
 
 _CODE = np.full(256, 255, np.uint8)
@@ -55,7 +58,7 @@ _STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 class Letters:
     """Different words of a slice, letters only, as rows of codes; and where they are.
 
-    ``code`` (words, LONGEST), ``size``; ``of`` and ``doc`` say for each
+    ``code`` (words, LONGEST), ``size``, ``key`` (a hash, rising); ``of`` and ``doc`` say for each
     occurrence which word it is and in which row.  Longer words are cut into
     pieces that overlap by half.  Four or more single letters in a row, with
     spaces between, are also one word.
@@ -110,15 +113,24 @@ class Letters:
         wide = grid.view(np.uint64).reshape(len(size), -1) if len(size) else np.empty((0, 3), np.uint64)
         for k in range(wide.shape[1]):
             h = mix(h ^ wide[:, k], k + 1)
-        _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
+        self.key, first, self.of = np.unique(h, return_index=True, return_inverse=True)
         self.code, self.size = grid[first].astype(np.int32), size[first] + 2
 
 
+def _alike(size: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows of like size, and how many columns they need."""
+    order = np.argsort(size, kind="stable")
+    edge = np.searchsorted(size[order], WIDTHS, "right")
+    for a, b, width in zip([0, *edge], edge, WIDTHS):
+        if b > a:
+            yield order[a:b], width
+
+
 def _triples(code: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(numbers, valid, weight) of all subsequences with the same gaps, for rows of codes."""
     col = np.arange(code.shape[1])
     for a, b, weight in _STEPS:
-        last = code.shape[1] - b
+        last = max(0, code.shape[1] - b)
         ids = (code[:, :last] << 10) | (code[:, a : a + last] << 5) | code[:, b:]
         yield ids, (col[:last] + b) < size[:, None], weight
 
@@ -170,23 +182,38 @@ class Kernel:
 
     def bound(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         """At least the largest kernel value of each word."""
-        up, square = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
-        for i, ok, weight in _triples(code, size):
-            up += weight * np.where(ok, self.top[i], 0).sum(1)
-            square += weight * weight * ok.sum(1)
-        return up / np.sqrt(np.maximum(square, 1e-9))
+        out = np.zeros(len(code), np.float32)
+        for rows, width in _alike(size):
+            part, n = code[rows, :width], size[rows]
+            up, square = np.zeros(len(rows), np.float32), np.zeros(len(rows), np.float32)
+            for i, ok, weight in _triples(part, n):
+                up += weight * np.where(ok, self.top[i], 0).sum(1)
+                square += weight * weight * ok.sum(1)
+            out[rows] = up / np.sqrt(np.maximum(square, 1e-9))
+        return out
 
     def values(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.zeros((len(code), len(self.landmarks)), np.float32)
-        for a in range(0, len(code), 2000):
-            row, number, value = _features(code[a : a + 2000], size[a : a + 2000])
-            if not len(row):
-                continue
-            n = min(2000, len(code) - a)
-            square = np.bincount(row, value * value, n)
-            part = self.table[number] * value[:, None].astype(np.float32)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out[a + row[first]] = np.add.reduceat(part, first, axis=0) / np.sqrt(square[row[first]])[:, None]
+        used = self.top > 0
+        for rows, width in _alike(size):
+            for a in range(0, len(rows), 2000):
+                own = rows[a : a + 2000]
+                part, n = code[own, :width], size[own]
+                steps = list(_triples(part, n))
+                ids, ok = np.concatenate([i for i, _, _ in steps], 1), np.concatenate([k for _, k, _ in steps], 1)
+                weight = np.concatenate([np.full(i.shape[1], w) for i, _, w in steps])
+                square = ok @ weight**2
+                # weights of a subsequence that comes more than once are added before they are squared
+                told = np.sort(np.where(ok, ids, -1 - np.arange(len(weight))).astype(np.int16), 1)
+                again = np.flatnonzero((told[:, 1:] == told[:, :-1]).any(1))
+                if len(again):
+                    row, _, value = _features(part[again], n[again])
+                    square[again] = np.bincount(row, value * value, len(again))
+                row, at = np.nonzero(ok & used[ids])
+                if len(row):
+                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    total = np.add.reduceat(self.table[ids[row, at]] * weight[at, None].astype(np.float32), first, axis=0)
+                    out[own[row[first]]] = total / np.sqrt(square[row[first]])[:, None]
         return out
 
 
@@ -195,6 +222,26 @@ class Model:
 
     def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.kernel, self.weights, self.bias, self.slope, self.shift = kernel, weights, bias, slope, shift
+        self.key, self.margin = np.empty(0, np.uint64), np.empty(0)
+
+    def of_words(self, x: Letters) -> np.ndarray:
+        """The margin of each word; those of up to REMEMBER words seen before are looked up."""
+        margin = np.full(len(x.size), self.bias)
+        at = np.searchsorted(self.key, x.key)
+        seen = np.zeros(len(x.key), bool)
+        inside = at < len(self.key)
+        seen[inside] = self.key[at[inside]] == x.key[inside]
+        margin[seen] = self.margin[at[seen]]
+        new = np.flatnonzero(~seen)
+        good = new[self.kernel.bound(x.code[new], x.size[new]) > FLOOR]
+        values = self.kernel.values(x.code[good], x.size[good])
+        margin[good] = np.where(values.max(1, initial=0) > FLOOR, values @ self.weights + self.bias, self.bias)
+        if len(self.key) + len(new) > REMEMBER:
+            self.key, self.margin, new = np.empty(0, np.uint64), np.empty(0), np.arange(len(x.key))
+        key = np.concatenate([self.key, x.key[new]])
+        order = np.argsort(key, kind="stable")
+        self.key, self.margin = key[order], np.concatenate([self.margin, margin[new]])[order]
+        return margin
 
     def margins(self, column: pa.Array) -> np.ndarray:
         """The largest margin of any word of each text, or the bias."""
@@ -202,10 +249,7 @@ class Model:
         x = Letters(column)
         if not len(x.size):
             return out
-        good = np.flatnonzero(self.kernel.bound(x.code, x.size) > FLOOR)
-        values = self.kernel.values(x.code[good], x.size[good])
-        margin = np.full(len(x.size), self.bias)
-        margin[good] = np.where(values.max(1, initial=0) > FLOOR, values @ self.weights + self.bias, self.bias)
+        margin = self.of_words(x)
         used = np.flatnonzero(margin[x.of] > self.bias)
         np.maximum.at(out, x.doc[used], margin[x.of[used]])
         return out
