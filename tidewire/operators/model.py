@@ -36,15 +36,11 @@ def tuples(s: Stream, feature: Feature) -> DataFrame:
 
 def gather_features(s: Stream, answers: DataFrame, field: str, features: list[Feature], top: int) -> DataFrame:
     """(value, feature, tuple, n, latest): of each answer (value) its ``top`` most frequent tuples, the newest of equals first."""
-    out = None
-    for f in features:
-        t = tuples(s, f)
-        t = t.withColumn("value", F.explode(s.values(field))).join(answers.select("value").distinct(), "value", "left_semi")
-        g = t.groupBy("value", "feature", "tuple").agg(F.count("*").alias("n"), F.max("id").alias("latest"))
-        rn = F.row_number().over(Window.partitionBy("value", "feature").orderBy(F.desc("n"), F.desc("latest"), "tuple"))
-        g = g.withColumn("_rn", rn).filter(F.col("_rn") <= top).drop("_rn")
-        out = g if out is None else out.union(g)
-    return out
+    rows = [tuples(s, f).withColumn("value", F.explode(s.values(field))).select("value", "feature", "tuple", "id") for f in features]
+    t = reduce(DataFrame.union, rows).join(answers.select("value").distinct(), "value", "left_semi")
+    g = t.groupBy("value", "feature", "tuple").agg(F.count("*").alias("n"), F.max("id").alias("latest"))
+    rn = F.row_number().over(Window.partitionBy("value", "feature").orderBy(F.desc("n"), F.desc("latest"), "tuple"))
+    return g.withColumn("_rn", rn).filter(F.col("_rn") <= top).drop("_rn")
 
 
 def train(
@@ -67,7 +63,8 @@ def train(
     counts = gather_features(base, sets, gather, features, top_tuples).join(sets, "value")
     sums = [F.sum(F.when(F.array_contains("numerators", i), F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(model_filters))]
     nums = counts.groupBy("feature", "tuple").agg(*sums).select("feature", "tuple", F.array(*(f"n{i}" for i in range(len(model_filters)))).alias("numerators"))
-    dens = reduce(DataFrame.union, [tuples(base, f).select("feature", "tuple", "id").distinct().groupBy("feature", "tuple").agg(F.count("*").alias("denominator")) for f in features])
+    dens = reduce(DataFrame.union, [tuples(base, f).select("feature", "tuple", "id") for f in features])
+    dens = dens.distinct().groupBy("feature", "tuple").agg(F.count("*").alias("denominator"))
     return nums.join(dens, ["feature", "tuple"])
 
 
@@ -127,7 +124,7 @@ def score(
 
     A tuple scores numerator / denominator, at most 1; a feature its best tuple
     times its scalar; features, models and numerators are combined in turn.
-    Scores up to ``nil`` count as 0, and values without a score fill the list.
+    At least one feature has a scalar above 0.  Scores up to ``nil`` count as 0, and values without a score fill the list.
     Ties are taken from the newest on, then by value.
     """
     base = s.visible(authz).where(within(bounds))
@@ -144,16 +141,13 @@ def score(
     total = sum(w for _, w in models)
     per_model = None
     for m, (model, weight) in enumerate(models):
-        best = None
-        for f in features:
-            if scalars.get(f.name, 0.0) <= 0:
-                continue
-            t = tuples(base, f).withColumn("value", F.explode(base.values(field))).select("value", "feature", "tuple").distinct()
-            got = t.join(model, ["feature", "tuple"])
-            sc = F.transform("numerators", lambda x: F.least((x.cast("float") / F.col("denominator").cast("float")).cast("float"), F.lit(1.0).cast("float")) * F.lit(scalars[f.name]))
-            cols = [F.max(F.coalesce(F.nanvl(F.get(sc, F.lit(i)).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"s{i}") for i in range(len(numerator_scalars))]
-            g = got.groupBy("value", "feature").agg(*cols)
-            best = g if best is None else best.union(g)
+        # tuples of all features together, so that each model is computed and joined once
+        used = [f for f in features if scalars.get(f.name, 0.0) > 0]
+        t = reduce(DataFrame.union, [tuples(base, f).withColumn("value", F.explode(base.values(field))).select("value", "feature", "tuple") for f in used]).distinct()
+        scalar = F.try_element_at(F.create_map(*(F.lit(x) for f in used for x in (f.name, float(scalars[f.name])))), F.col("feature"))
+        sc = F.transform("numerators", lambda x: F.least((x.cast("float") / F.col("denominator").cast("float")).cast("float"), F.lit(1.0).cast("float")) * scalar)
+        cols = [F.max(F.coalesce(F.nanvl(F.get(sc, F.lit(i)).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"s{i}") for i in range(len(numerator_scalars))]
+        best = t.join(model, ["feature", "tuple"]).groupBy("value", "feature").agg(*cols)
         sums = []
         for i in range(len(numerator_scalars)):
             agg = F.max(f"s{i}") if strategy == "MAX" else F.sum(f"s{i}") / F.lit(float(len(features)) if strategy == "UNIT_WEIGHTED" else 1.0)
