@@ -117,7 +117,7 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap a benchmark item; columns as they were."""
+    """``docs`` without those that overlap a benchmark item; columns as they were.  Rows without doc_id stay."""
     bad = overlaps(docs, bench).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 

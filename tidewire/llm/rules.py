@@ -25,11 +25,11 @@ STOP_WORDS = (
 
 #: (name, expression over the statistics, least, most); null: no bound on that side.
 RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("mean_word", "word_chars / n_words", 2.0, 14.0),
-    ("symbols", "n_symbols / n_words", None, 0.5),
-    ("stop_words", "n_stop / n_words", 0.01, None),
-    ("dup_lines", "n_dup_lines / n_lines", None, 0.3),
-    ("caps", "n_upper / word_chars", None, 0.4),
+    ("mean_word", "word_chars / nullif(n_words, 0)", 2.0, 14.0),
+    ("symbols", "n_symbols / nullif(n_words, 0)", None, 0.5),
+    ("stop_words", "n_stop / nullif(n_words, 0)", 0.01, None),
+    ("dup_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.3),
+    ("caps", "n_upper / nullif(word_chars, 0)", None, 0.4),
 )
 
 

@@ -242,11 +242,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest doc_id of each component only; columns as they were.
 
-    Repeated rows of that doc_id become one.
+    Repeated rows of that doc_id become one.  Rows without doc_id stay.
     """
     kept = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
