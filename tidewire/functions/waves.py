@@ -38,12 +38,13 @@ def merge_waves(a: Column, b: Column) -> Column:
 
 
 def slope(wave: Column) -> Column:
-    """Least-squares slope of w[i] on i / (n - 1); null for a single segment."""
+    """Least-squares slope of w[i] on i / (n - 1), of whole numbers; null for a single segment.
+
+    The sums are whole numbers up to the last division, so equal slopes are equal.
+    """
     n = F.size(wave)
-    mean_y = F.aggregate(wave, F.lit(0.0), lambda a, x: a + x) / n
-    xy = F.aggregate(F.transform(wave, lambda y, i: (i / (n - 1) - 0.5) * (y - mean_y)), F.lit(0.0), lambda a, x: a + x)
-    xx = F.aggregate(F.transform(wave, lambda y, i: (i / (n - 1) - 0.5) * (i / (n - 1) - 0.5)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n > 1, xy / xx)
+    xy = F.aggregate(F.transform(wave, lambda y, i: ((2 * i - (n - 1)) * y).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.when(n > 1, 6 * xy / (n * (n + 1)))
 
 
 def peaks(wave: Column, delta: Column) -> Column:
