@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import _tokenizer_path, _word_ids
-from .storage import table
+from .storage import stage, table
 from .textnum import slices
 
 #: Lengths that one partition of the suffix sums holds.
@@ -46,7 +46,8 @@ def histogram(counts: DataFrame) -> DataFrame:
     quantile is the share of documents no longer than it.  An empty table gives
     no rows.
     """
-    h = counts.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    # staged, as it is read twice and texts should be encoded once
+    h = stage(counts.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "lengths")
     h = h.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / SPREAD))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # blocks: one row for SPREAD lengths, so as many as the longest text allows
