@@ -38,8 +38,8 @@ from .storage import release, stage, table
 from .textnum import Words, mix, signed, slices
 
 NUM, DEN = 4, 5
-#: Shorter lines are left alone.
-MIN_WORDS = 5
+#: Lines without words are left alone; the bound on prefixes holds from one word on.
+MIN_WORDS = 1
 #: The table of word counts has 2 ** BITS entries of two bytes each once it is merged.
 BITS = 22
 CHUNKS = 64
@@ -503,7 +503,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, or else its own id; n_links adds up the different sets that its lines
     are similar to; removed lists line:doc:line for each line that goes and the
     earliest line like it.  Null and empty texts have no lines.  Repeated rows
-    (same doc_id and text) are one document.  Lines of under MIN_WORDS words stay.
+    (same doc_id and text) are one document.  Lines without words stay.
     """
     s = similar_lines(table(spark, sf_dir, "documents"))
     line = F.when(F.col("later"), F.struct("line_no", F.concat_ws(":", "line_no", "m_doc", "m_line").alias("what")))
