@@ -31,14 +31,14 @@ from .textnum import Words, mix, slices
 #: Labelled rows of a class that training reads, those with the smallest hash.
 SAMPLE = 5000
 #: Landmarks that speak for toxic texts, and near misses from clean ones.
-TOXIC, NEAR = 48, 16
+TOXIC, NEAR = 128, 16
 #: Different words that the SVM learns from, those in most texts.
 WORDS = 20_000
 CAUTION = 3.0
 #: Weight of a toxic landmark's disguises, with a letter put in, beside its own.
 DISGUISE = 0.5
-#: Nats of evidence that make a word a landmark: chance gives less to any of a million words.
-EVIDENCE = 13.0
+#: How many words of a sample may become landmarks by chance alone; the evidence asked for follows from it.
+CHANCE = 0.1
 #: Words whose margins a task keeps.
 REMEMBER = 2_000_000
 DECAY, SPAN, FLOOR = 0.7, 6, 0.4
@@ -367,42 +367,53 @@ def _model_batches(shared, name: str, scored: bool) -> object:
     return run
 
 
-def _landmarks(counts: list, totals: dict[int, int]) -> list[str]:
-    """Words that speak most for toxic texts and differ from each other, then clean words that come nearest."""
-    toxic, clean = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
-    prior = toxic / (toxic + clean)
-
-    def evidence(r) -> float:
-        """Log likelihood gained by giving the word its own share of toxic texts; 0 unless that is above the prior."""
-        n = r.t + r.c
-        share = r.t / n
-        return 0.0 if share <= prior else r.t * np.log(share / prior) + (r.c * np.log((1 - share) / (1 - prior)) if r.c else 0.0)
-
-    odds = {r.word: np.log((r.t + 0.5) / (toxic + 1)) - np.log((r.c + 0.5) / (clean + 1)) for r in counts}
-    strong = sorted((r for r in counts if r.t >= 3 and odds[r.word] > 1.5 and evidence(r) > EVIDENCE), key=lambda r: (-odds[r.word] * np.sqrt(r.t), r.word))[:600]
+def _landmarks(strong: list[str], clean: list[str]) -> list[str]:
+    """The first TOXIC words that speak for toxic texts and differ from each other, then clean words that come nearest."""
     picked: list[str] = []
     if strong:
-        words = [r.word for r in strong]
-        alike = Kernel(words).values(*encode(words))
+        alike = Kernel(strong).values(*encode(strong))
         chosen: list[int] = []
-        for k in range(len(words)):
+        for k in range(len(strong)):
             if not chosen or alike[k, chosen].max() < 0.7:
                 chosen.append(k)
             if len(chosen) == TOXIC:
                 break
-        picked = [words[k] for k in chosen]
-    rest = sorted(r.word for r in counts if r.c > r.t and r.word not in set(picked))
+        picked = [strong[k] for k in chosen]
+    rest = sorted(set(clean) - set(picked))
     if picked and rest:
         near = Kernel(picked).values(*encode(rest)).max(1)
         picked += [rest[k] for k in np.argsort(-near, kind="stable")[:NEAR]]
     return picked
 
 
+def _evident(words: DataFrame, totals: dict[int, int]) -> list[str]:
+    """The words (word, t, c) that speak for toxic texts, most telling first.
+
+    Evidence is the log likelihood gained by giving a word its own share of toxic
+    texts, if that is above the prior.  What is asked for grows with the number of
+    words that are tried, so small samples and large ones are judged alike.
+    """
+    t, c = F.col("t"), F.col("c")
+    prior, share = totals[1] / (totals[0] + totals[1]), t / (t + c)
+    odds = F.log((t + 0.5) / (totals[1] + 1)) - F.log((c + 0.5) / (totals[0] + 1))
+    gain = t * F.log(share / prior) + F.when(c > 0, c * F.log((1 - share) / (1 - prior))).otherwise(0.0)
+    tried = words.filter("t >= 3")
+    need = float(np.log(max(1, tried.count()) / CHANCE))
+    found = tried.filter((share > prior) & (odds > 1.5) & (gain > need))
+    return [r.word for r in found.orderBy(F.desc(odds * F.sqrt("t")), "word").limit(600).select("word").collect()]
+
+
+def _rate(known: DataFrame) -> float:
+    """The share of toxic rows in (label), 0 if there are none."""
+    return float(known.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); None if a class has no rows.
 
     Rows with a null label or doc_id are left out.  Of each class the SAMPLE rows
-    with the smallest hash of doc_id are read.
+    with the smallest hash of doc_id are read.  If no word speaks for toxic texts,
+    every text gets the share of toxic rows.
     """
     spark = docs.sparkSession
     known = labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -414,12 +425,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     words = stage(sample.mapInArrow(_word_batches, "word string, label int").groupBy("word").agg(
         F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
-    weight = F.log((F.col("t") + 0.5) / (totals[1] + 1)) - F.log((F.col("c") + 0.5) / (totals[0] + 1))
-    strong = words.filter("t >= 3").orderBy(F.desc(weight * F.sqrt("t")), "word").limit(1000).collect()
     common = words.filter("c >= 3 and c > t").orderBy(F.desc("c"), "word").limit(WORDS).collect()
-    landmarks = _landmarks([*{r.word: r for r in [*strong, *common]}.values()], totals)
+    landmarks = _landmarks(_evident(words, totals), [r.word for r in common])
     if not landmarks:
-        return None
+        rate = _rate(known)
+        return Model(Kernel([]), np.empty(0), float(np.log(rate / (1 - rate))))
     shared = spark.sparkContext.broadcast(pickle.dumps(Kernel(landmarks)))
     near = words.mapInArrow(_near_batches(shared), words.schema).orderBy(F.desc(F.col("t") + F.col("c")), "word").limit(WORDS).collect()
     model = learn(landmarks, [(r.word, r.t, r.c) for r in near], totals)
@@ -430,14 +440,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for each row of ``docs``; without a model every score is 0.5.
+def score(docs: DataFrame, model: Model | None, rate: float = 0.5) -> DataFrame:
+    """(doc_id, score) for each row of ``docs``; without a model every score is ``rate``.
 
     Null and empty texts have no words and the score of the bias.  Rows that
     repeat are scored each; other columns are ignored.
     """
     if model is None:
-        return docs.select("doc_id", F.lit(0.5).alias("score"))
+        return docs.select("doc_id", F.lit(rate).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     return docs.select("doc_id", "text").mapInArrow(_model_batches(shared, "doc_id", True), "doc_id long, score double")
 
@@ -445,5 +455,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = train(docs, labels.filter(~held).select("doc_id", F.col("toxic").alias("label")))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    known = labels.filter(~held).select("doc_id", F.col("toxic").alias("label"))
+    model = train(docs, known)
+    rate = _rate(known.filter("label in (0, 1)")) if model is None else 0.5
+    return score(docs, model, rate).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
