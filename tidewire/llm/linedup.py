@@ -7,6 +7,10 @@ position and a bitmap of the set rule out most pairs that share a prefix word;
 what is left is verified on the whole sets.  A line goes if any similar line
 comes before it, in order of doc_id and place.
 
+Words are told apart by 64-bit hashes under a key that each call draws anew, so
+prepared collisions do not work; equal lines are those with equal 128-bit hashes
+of their words.  Counts, prefixes and filters only decide what is looked at.
+
 How it is spread:
 
 1. one pass over the texts gives each line's class (hash of its words), and counts
@@ -23,6 +27,7 @@ A word that would gather too many postings is dealt to blocks and pairs of block
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -43,12 +48,14 @@ MIN_WORDS = 1
 #: The table of word counts has 2 ** BITS entries of two bytes each once it is merged.
 BITS = 22
 CHUNKS = 64
-#: Classes that a task remembers, so as to send a repeated line once.
-REMEMBER = 1_000_000
+#: Places for classes that a task remembers, so as to send a repeated line once.
+REMEMBER = 1 << 19
 #: Occurrences of a word for which its postings get one block; more get more blocks.
-PER_BLOCK = 1 << 20
-#: Sets that are compared pair by pair; more are compared by matrices.
-FEW = 24
+PER_BLOCK = 1 << 15
+#: Sets that are compared pair by pair; more are compared by matrices of BLOCK rows and WIDE words at a time.
+FEW, BLOCK, WIDE = 24, 512, 4096
+#: Rows that are compared at once, or a whole group.
+ROWS = 1 << 16
 _ONCE = 64  # the code of a count of one; doubling a large count adds as much
 
 
@@ -59,24 +66,23 @@ def _ceil(n, num: int, den: int):
 class Lines:
     """The lines of a slice that count: place, number of words and class.
 
-    The class is a hash of the words with their repeats, in any order, so lines
-    of different classes may still be equal as sets; the join finds that.
+    The class, ``cls`` and ``cls2``, is a hash of the words with their repeats, in any
+    order, so lines of different classes may still be equal as sets; the join
+    finds that.
     """
 
-    def __init__(self, column: pa.Array):
-        w = Words(column)
-        if not len(w.hash):
+    def __init__(self, column: pa.Array, key: int = 0):
+        w = Words(column, key)
+        if not len(w.start):
             self.doc = self.line = self.size = self.first = np.empty(0, np.int64)
-            self.cls = self.hash = np.empty(0, np.uint64)
+            self.cls = self.cls2 = self.hash = np.empty(0, np.uint64)
             return
         first = np.flatnonzero(np.r_[True, (w.doc[1:] != w.doc[:-1]) | (w.line[1:] != w.line[:-1])])
-        size = np.diff(np.r_[first, len(w.hash)])
-        long = size >= MIN_WORDS
-        self.hash = w.hash[np.repeat(long, size)]
-        self.size = size[long]
-        self.first = np.cumsum(self.size) - self.size
-        self.doc, self.line = w.doc[first[long]], w.line[first[long]]
-        self.cls = mix(np.add.reduceat(mix(self.hash, 0x5BD1E995), self.first), 0x27D4EB2F) if len(self.size) else np.empty(0, np.uint64)
+        self.hash, self.first, self.size = w.hash, first, np.diff(np.r_[first, len(w.hash)])
+        self.doc, self.line = w.doc[first], w.line[first]
+        h = mix(self.hash, 0x5BD1E995)
+        self.cls = mix(np.add.reduceat(h, first), 0x27D4EB2F)
+        self.cls2 = mix(np.add.reduceat((h ^ (h >> np.uint64(31))) * h, first), 0x165667B1)
 
 
 class Sets:
@@ -93,6 +99,9 @@ class Sets:
         bits = max(1, int(len(size)).bit_length())
         key = (gid.astype(np.uint64) << np.uint64(64 - bits)) | (code << np.uint64(64 - bits - 12)) | (h >> np.uint64(bits + 12))
         order = np.argsort(key)
+        sorted_key, sorted_hash = key[order], h[order]
+        if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_hash[1:] != sorted_hash[:-1])).any():  # the key holds a part of the hash only
+            order = np.lexsort((h, key))
         h, code, gid = h[order], code[order], gid[order]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (gid[1:] != gid[:-1])
@@ -150,53 +159,55 @@ def _merged(blobs: DataFrame) -> np.ndarray:
 
 # -- the passes over the texts ----------------------------------------------
 
-_LINE = "doc_id long, th long, line_no int, cls long, n int, chunk int, part int, counts binary"
+_LINE = "doc_id long, th long, line_no int, cls long, cls2 long, n int, chunk int, part int, counts binary"
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_batches(key: int) -> object:
     """doc_id, th, text to a row for each line that counts, one for each document (line_no -1), and the counts."""
     names = [x.split()[0] for x in _LINE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    counts = np.zeros(1 << BITS, np.int64)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(*cols) -> pa.RecordBatch:
         size = len(cols[0])
         full = [c if isinstance(c, pa.Array) else pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
         return pa.RecordBatch.from_arrays(full, names)
 
-    for batch in batches:
-        text = batch.column(2)
-        for a, b in slices(text):
-            part = batch.slice(a, b - a)
-            x = Lines(part.column(2))
-            np.add.at(counts, bucket(x.hash), 1)
-            at = pa.array(x.doc)
-            yield rows(part.column(0).take(at), part.column(1).take(at), x.line.astype(np.int32), signed(x.cls), x.size.astype(np.int32), None, None, None)
-            each = np.bincount(x.doc, minlength=b - a).astype(np.int32) if len(x.doc) else np.zeros(b - a, np.int32)
-            yield rows(part.column(0), part.column(1), np.full(b - a, -1, np.int32), None, each, None, None, None)
-    got = list(_blobs(counts))
-    if got:
-        none = pa.nulls(len(got), pa.int64())
-        share = TaskContext.get().partitionId() % 256
-        yield rows(none, none, None, None, None, [k for k, _ in got], [share] * len(got), [c for _, c in got])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                x = Lines(part.column(2), key)
+                np.add.at(counts, bucket(x.hash), 1)
+                at = pa.array(x.doc)
+                each = np.bincount(x.doc, minlength=b - a).astype(np.int32) if len(x.doc) else np.zeros(b - a, np.int32)
+                yield rows(part.column(0).take(at), part.column(1).take(at), x.line.astype(np.int32), signed(x.cls), signed(x.cls2), x.size.astype(np.int32), None, None, None)
+                yield rows(part.column(0), part.column(1), np.full(b - a, -1, np.int32), None, None, each, None, None, None)
+        got = list(_blobs(counts))
+        if got:
+            none = pa.nulls(len(got), pa.int64())
+            share = TaskContext.get().partitionId() % 256
+            yield rows(none, none, None, None, None, None, [k for k, _ in got], [share] * len(got), [c for _, c in got])
+
+    return run
 
 
 class _Memory:
-    """Which classes a task has sent already; forgets all when it is full."""
+    """Which classes a task has sent already; a class may push out another, which is then sent again."""
 
     def __init__(self):
-        self.seen: set[int] = set()
+        self.one, self.two = np.zeros(REMEMBER, np.uint64), np.zeros(REMEMBER, np.uint64)
+        self.owner = np.zeros(REMEMBER, np.int64)
 
-    def fresh(self, cls: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(cls), bool)
-        seen = self.seen
-        for i, c in enumerate(cls.tolist()):
-            if c not in seen:
-                out[i] = True
-                seen.add(c)
-        if len(seen) > REMEMBER:
-            seen.clear()
-        return out
+    def fresh(self, cls: np.ndarray, cls2: np.ndarray) -> np.ndarray:
+        """Places of classes that are new, each once where its place in the table is not contested."""
+        at = (cls % np.uint64(REMEMBER)).astype(np.int64)
+        new = np.flatnonzero((self.one[at] != cls) | (self.two[at] != cls2))
+        at = at[new]
+        self.owner[at[::-1]] = new[::-1]
+        first = self.owner[at]
+        self.one[at], self.two[at] = cls[first], cls2[first]
+        return new[(first == new) | (cls[first] != cls[new]) | (cls2[first] != cls2[new])]
 
 
 def _blocks(code: np.ndarray) -> np.ndarray:
@@ -204,14 +215,14 @@ def _blocks(code: np.ndarray) -> np.ndarray:
     return np.ceil(np.exp2(code / _ONCE) / PER_BLOCK).astype(np.int64).clip(1)
 
 
-def _posting_batches(shared) -> object:
+def _posting_batches(shared, key: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, memory = np.frombuffer(shared.value, np.uint16), _Memory()
         for batch in batches:
             text = batch.column(0)
             for a, b in slices(text):
-                x = Lines(text.slice(a, b - a))
-                which = np.flatnonzero(memory.fresh(x.cls))
+                x = Lines(text.slice(a, b - a), key)
+                which = memory.fresh(x.cls, x.cls2)
                 if not len(which):
                     continue
                 y = Sets(x, which, codes)
@@ -240,7 +251,7 @@ def _posting_batches(shared) -> object:
     return run
 
 
-def _set_batches(shared, wanted, texts) -> object:
+def _set_batches(shared, wanted, texts, key: int) -> object:
     """th, text to sets of the lines whose class may be wanted, in order of rarity; reads only texts that may hold the first line of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +260,14 @@ def _set_batches(shared, wanted, texts) -> object:
             th = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             text = batch.column(1).filter(pa.array(hold[bucket(th)] > 0))
             for a, b in slices(text):
-                x = Lines(text.slice(a, b - a))
+                x = Lines(text.slice(a, b - a), key)
                 maybe = np.flatnonzero(want[bucket(x.cls)] > 0)
-                maybe = maybe[memory.fresh(x.cls[maybe])]
+                maybe = maybe[memory.fresh(x.cls[maybe], x.cls2[maybe])]
                 if not len(maybe):
                     continue
                 y = Sets(x, maybe, codes)
                 words = [y.hash[s : s + n].tobytes() for s, n in zip(y.start, y.n)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x.cls[maybe])), pa.array(words, pa.binary())], ["cls", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x.cls[maybe])), pa.array(signed(x.cls2[maybe])), pa.array(words, pa.binary())], ["cls", "cls2", "words"])
 
     return run
 
@@ -272,164 +283,176 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 # -- meeting by word --------------------------------------------------------
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
-    """Columns of whole groups; rows come sorted by the first ``keys`` columns."""
-    kept = None
+    """Columns of whole groups, ROWS rows or more at a time; rows come sorted by the first ``keys`` columns."""
+    held: list[list] = []
+    size = 0
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols)]
         if not len(cols[0]):
             continue
+        held.append(cols)
+        size += len(cols[0])
+        if size < ROWS or all(held[0][k][0] == cols[k][-1] for k in range(keys)):
+            continue  # a group that goes on is not copied until it ends
+        cols = [np.concatenate(x) for x in zip(*held)]
         same = np.logical_and.reduce([cols[k] == cols[k][-1] for k in range(keys)])
         cut = int(np.argmax(same))
-        kept = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if kept is not None and len(kept[0]):
-        yield kept
-
-
-def _ends(*keys: np.ndarray) -> np.ndarray:
-    """For each row of sorted keys: where its group ends."""
-    n = len(keys[0])
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    edge = np.r_[np.flatnonzero(new), n]
-    return np.repeat(edge[1:], np.diff(edge))
+        held, size = [[c[cut:].copy() for c in cols]], len(cols[0]) - cut
+        yield [c[:cut] for c in cols]
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Number of the group of each row of sorted keys."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings sorted by tok: those with a partner that length, position and bitmap allow."""
-    for cols in _grouped(batches, 1):
-        order = np.lexsort((cols[5], cols[1], cols[0]))
-        tok, pair, cls, low, high, ni = (c[order] for c in cols)
-        n, i, low, high = ni >> 32, ni & 0xFFFFFFFF, low.view(np.uint64), high.view(np.uint64)
-        end = _ends(tok, pair)
+    for tok, pair, cls, low, high, ni in _grouped(batches, 1):
+        order = np.lexsort((ni, pair, tok)) if pair.any() else np.lexsort((ni, tok))
+        tok, pair, cls, low, high, ni = (c[order] for c in (tok, pair, cls, low, high, ni))
+        low, high = low.view(np.uint64), high.view(np.uint64)
+        n, left = (ni >> 32).astype(np.int32), ((ni >> 32) - (ni & 0xFFFFFFFF)).astype(np.int32)
+        place = (_groups(tok, pair) << 32) | n
+        # partners of a row are the rows after it up to a quarter longer, in its group
+        reach = np.searchsorted(place, place + n * DEN // NUM - n, "right") - np.arange(len(tok)) - 1
         good = np.zeros(len(tok), bool)
-        live, shift = np.flatnonzero(end - np.arange(len(tok)) > 1), 1
-        while len(live):
-            j = live + shift
-            near = n[live] * DEN >= NUM * n[j]  # rows are in order of n, so a later one is no nearer
-            live, j = live[near], j[near]
-            both = n[live] + n[j]
+        rows = np.argsort(-reach, kind="stable")
+        far = -reach[rows]
+        for shift in range(1, int(-far[0]) + 1 if len(far) else 1):
+            a = rows[: np.searchsorted(far, -shift, "right")]
+            b = a + shift
+            both = n[a] + n[b]
             need = _ceil(both, NUM, NUM + DEN)
-            ok = (np.minimum(n[live] - i[live], n[j] - i[j]) >= need) & (cls[live] != cls[j])
-            a, b = live[ok], j[ok]
-            ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= (both - 2 * need)[ok]
+            ok = np.flatnonzero(np.minimum(left[a], left[b]) >= need)
+            a, b = a[ok], b[ok]
+            apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int32) + np.bitwise_count(high[a] ^ high[b])
+            ok = (apart <= (both - 2 * need)[ok]) & (cls[a] != cls[b])
             good[a[ok]] = True
             good[b[ok]] = True
-            shift += 1
-            live = live[live + shift < end[live]]
         sel = np.flatnonzero(good)
         yield pa.RecordBatch.from_arrays([pa.array(tok[sel]), pa.array(pair[sel]), pa.array(cls[sel])], ["tok", "pair", "cls"])
 
 
-_LINKS = "cls long, links long, p_doc long, p_th long, p_line int"
+_LINKS = "cls long, cls2 long, links long, p_doc long, p_th long, p_line int"
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tok, pair, cls, words, doc_id, th, line_no sorted by (tok, pair): links and earliest partner of each class."""
-    for tok, pair, cls, words, doc, th, line in _grouped(batches, 2):
-        edge = np.unique(np.r_[0, _ends(tok, pair)])
-        out_cls, out_n, out_p = [], [], []
+    """tok, pair, cls, cls2, words, doc_id, th, line_no sorted by (tok, pair): links and earliest partner of each class."""
+    for tok, pair, cls, cls2, words, doc, th, line in _grouped(batches, 2):
+        group = _groups(tok, pair)
+        order = np.lexsort((line, th, doc, group))
+        edge = np.searchsorted(group, np.arange(group[-1] + 2))
+        out_at, out_n, out_p = [], [], []
         for a, b in zip(edge[:-1], edge[1:]):
             if b - a < 2:
                 continue
-            _, keep = np.unique(cls[a:b], return_index=True)
-            at = a + keep
-            if len(at) < 2:
-                continue
-            at = at[np.lexsort((line[at], th[at], doc[at]))]
+            at, word = order[a:b], np.uint64(tok[a].view(np.uint64))
             sets = [np.frombuffer(words[k], np.uint64) for k in at]
             solve = _few_links if len(at) <= FEW else _links_of
-            got = solve(np.uint64(tok[a].view(np.uint64)), sets, cls[at].view(np.uint64), int(pair[a]))
+            got = solve(word, sets, cls[at].view(np.uint64), int(pair[a]))
             for k, (n, p) in got.items():
-                out_cls.append(cls[at[k]])
+                out_at.append(at[k])
                 out_n.append(n)
                 out_p.append(at[p])
-        p = np.array(out_p, np.int64)
+        c, p = np.array(out_at, np.int64), np.array(out_p, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_cls, pa.int64()), pa.array(out_n, pa.int64()), pa.array(doc[p], pa.int64()), pa.array(th[p], pa.int64()), pa.array(line[p], pa.int32())],
-            ["cls", "links", "p_doc", "p_th", "p_line"],
+            [pa.array(cls[c], pa.int64()), pa.array(cls2[c], pa.int64()), pa.array(out_n, pa.int64()), pa.array(doc[p], pa.int64()), pa.array(th[p], pa.int64()), pa.array(line[p], pa.int32())],
+            ["cls", "cls2", "links", "p_doc", "p_th", "p_line"],
         )
 
 
+def _sides(cls: np.ndarray, pair: int) -> np.ndarray | None:
+    """For a group of two blocks of a word's postings, the block of each class: pairs within one belong to that block's own group."""
+    two = pair and (pair >> 20 & 0xFFFFF) != (pair & 0xFFFFF)
+    return cls % np.uint64(pair >> 40) if two else None
+
+
 def _few_links(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int) -> dict[int, tuple[int, int]]:
     """What _links_of says, pair by pair: less work where sets are few."""
     lists = [s.tolist() for s in sets]
     bags = [frozenset(x) for x in lists]
-    heads = [x[: x.index(int(tok))] for x in lists]
-    two = pair and (pair >> 20 & 0xFFFFF) != (pair & 0xFFFFF)
-    side = (cls % np.uint64(pair >> 40)).tolist() if two else None
+    word = int(tok)
+    heads = [x[: x.index(word)] if word in bag else x for x, bag in zip(lists, bags)]
+    side = _sides(cls, pair)
+    side = side.tolist() if side is not None else None
     out: dict[int, tuple[int, int]] = {}
     for j in range(1, len(bags)):
         for i in range(j):
-            if two and side[i] == side[j]:
+            if side and side[i] == side[j]:
                 continue
             common = len(bags[i] & bags[j])
-            if common * DEN >= NUM * (len(bags[i]) + len(bags[j]) - common) and bags[j].isdisjoint(heads[i]):
+            if common * DEN >= NUM * (len(bags[i]) + len(bags[j]) - common) and word in bags[i] and bags[j].isdisjoint(heads[i]):
                 for x, y in ((i, j), (j, i)):
                     n, first = out.get(x, (0, len(bags)))
                     out[x] = (n + 1, min(first, y))
     return out
 
 
-def _links_of(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int, block: int = 1024) -> dict[int, tuple[int, int]]:
+def _links_of(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int) -> dict[int, tuple[int, int]]:
     """For sets in order of place: {k: (links, first partner)}, of pairs whose first common word is ``tok``.
 
     Common words are counted by products of 0/1 matrices over the words of the
-    group, block by block.
+    group, BLOCK sets and WIDE words at a time.
     """
     m = len(sets)
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(m), n)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    mark = np.array([int(np.flatnonzero(s == tok)[0]) for s in sets])
+    mark = np.full(m, -1)
+    hit = np.flatnonzero(flat == tok)
+    mark[row[hit]] = place[hit]
     _, col = np.unique(flat, return_inverse=True)
     shared = np.bincount(col) > 1  # a word of one set only is common to none
     new = np.cumsum(shared) - 1
     use = shared[col]
     row, col, place = row[use], new[col[use]], place[use]
-    width = int(shared.sum())
     before = place < mark[row]
-    # a group of two blocks of the word's postings: pairs within one block belong to that block's own group
-    two = pair and (pair >> 20 & 0xFFFFF) != (pair & 0xFFFFF)
-    side = (cls % np.uint64(pair >> 40)) if two else None
+    start = np.searchsorted(row, np.arange(m + 1))
+    side = _sides(cls, pair)
     links = np.zeros(m, np.int64)
     partner = np.full(m, m, np.int64)
 
-    def matrix(a: int, b: int, which: np.ndarray | None = None) -> np.ndarray:
-        x = np.zeros((b - a, width), np.float32)
-        sel = (row >= a) & (row < b)
+    def matrix(a: int, b: int, low: int, high: int, which: np.ndarray | None = None) -> np.ndarray:
+        own = slice(start[a], start[b])
+        r, c = row[own], col[own]
+        sel = (c >= low) & (c < high)
         if which is not None:
-            sel &= which
-        x[row[sel] - a, col[sel]] = 1
+            sel &= which[own]
+        x = np.zeros((b - a, high - low), np.float32)
+        x[r[sel] - a, c[sel] - low] = 1
         return x
 
-    for a in range(0, m, block):
-        b = min(a + block, m)
-        xa, ya = matrix(a, b), matrix(a, b, before)
-        for c in range(a, m, block):
-            d = min(c + block, m)
-            common = xa @ (xa if c == a else matrix(c, d)).T
-            ok = common * DEN >= NUM * (n[a:b, None] + n[None, c:d] - common)
-            ok &= (ya @ (ya if c == a else matrix(c, d, before)).T) == 0
+    for a in range(0, m, BLOCK):
+        b = min(a + BLOCK, m)
+        for c in range(a, m, BLOCK):
+            d = min(c + BLOCK, m)
+            common, early = np.zeros((b - a, d - c), np.float32), np.zeros((b - a, d - c), np.float32)
+            words = np.unique(np.concatenate([col[start[a] : start[b]], col[start[c] : start[d]]]))
+            for low in range(int(words[0]), int(words[-1]) + 1, WIDE) if len(words) else ():
+                high = low + WIDE
+                right = matrix(c, d, low, high).T
+                common += matrix(a, b, low, high) @ right
+                early += matrix(a, b, low, high, before) @ right
+            ok = (common * DEN >= NUM * (n[a:b, None] + n[None, c:d] - common)) & (early == 0)
+            ok &= (mark[a:b, None] >= 0) & (mark[None, c:d] >= 0)
             if c == a:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)
             i, j = i + a, j + c
-            if two:
+            if side is not None:
                 other = side[i] != side[j]
                 i, j = i[other], j[other]
             links += np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
             np.minimum.at(partner, j, i)
             np.minimum.at(partner, i, j)
-    return {k: (int(links[k]), int(partner[k])) for k in np.flatnonzero(links)}
+    return {int(k): (int(links[k]), int(partner[k])) for k in np.flatnonzero(links)}
 
 
 # -- the operator -----------------------------------------------------------
@@ -441,33 +464,35 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     similar, if it comes before; links counts the different similar sets.
     """
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    spark = docs.sparkSession
-    first = stage(d.mapInArrow(_line_batches, _LINE), "lines")
+    spark, key = docs.sparkSession, secrets.randbits(63)
+    first = stage(d.mapInArrow(_line_batches(key), _LINE), "lines")
     blobs = first.filter("chunk is not null").select("chunk", "part", "counts")
     codes = spark.sparkContext.broadcast(_merged(blobs).tobytes())
-    lines = first.filter("chunk is null").select("doc_id", "th", "line_no", "cls", "n")
-    classes = lines.filter("line_no >= 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"))
+    lines = first.filter("chunk is null").select("doc_id", "th", "line_no", "cls", "cls2", "n")
+    own = F.struct("doc_id", "th", "line_no")
+    classes = lines.filter("line_no >= 0").groupBy("cls", "cls2").agg(F.count("*").alias("copies"), F.min(own).alias("first"))
 
-    postings = d.select("text").mapInArrow(_posting_batches(codes), "tok long, pair long, cls long, low long, high long, ni long")
+    postings = d.select("text").mapInArrow(_posting_batches(codes, key), "tok long, pair long, cls long, low long, high long, ni long")
     met = postings.repartition("tok", "pair").sortWithinPartitions("tok")
     likely = stage(met.mapInArrow(_candidate_batches, "tok long, pair long, cls long"), "likely")
     del postings, met
     release(spark)
-    at = stage(likely.select("cls").distinct().join(classes, "cls").select("cls", "first.doc_id", "first.th", "first.line_no"), "firsts")
+    at = stage(likely.select("cls").distinct().join(classes, "cls").select("cls", "cls2", "first.doc_id", "first.th", "first.line_no"), "firsts")
     wanted, texts = (
         spark.sparkContext.broadcast(_merged(at.select(c).mapInArrow(_class_counts, "chunk int, part int, counts binary")).tobytes()) for c in ("cls", "th"))
-    sets = d.select("th", "text").mapInArrow(_set_batches(codes, wanted, texts), "cls long, words binary").groupBy("cls").agg(F.max("words").alias("words"))
-    full = likely.distinct().join(sets.join(at, "cls"), "cls").select("tok", "pair", "cls", "words", "doc_id", "th", "line_no")
+    sets = d.select("th", "text").mapInArrow(_set_batches(codes, wanted, texts, key), "cls long, cls2 long, words binary")
+    sets = sets.groupBy("cls", "cls2").agg(F.max("words").alias("words"))
+    full = likely.distinct().join(sets.join(at, ["cls", "cls2"]), "cls").select("tok", "pair", "cls", "cls2", "words", "doc_id", "th", "line_no")
     dealt = full.repartition("tok", "pair").sortWithinPartitions("tok", "pair")
-    links = dealt.mapInArrow(_verify_batches, _LINKS).groupBy("cls").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("p_doc").alias("doc_id"), F.col("p_th").alias("th"), F.col("p_line").alias("line_no"))).alias("partner"))
+    partner = F.struct(F.col("p_doc").alias("doc_id"), F.col("p_th").alias("th"), F.col("p_line").alias("line_no"))
+    links = dealt.mapInArrow(_verify_batches, _LINKS).groupBy("cls", "cls2").agg(F.sum("links").alias("links"), F.min(partner).alias("partner"))
 
-    told = classes.join(links, "cls", "left").filter("copies > 1 or links is not null")
-    told = stage(told.select("cls", "copies", "links", F.least("first", F.coalesce("partner", "first")).alias("early")), "told")
+    told = classes.join(links, ["cls", "cls2"], "left").filter("copies > 1 or links is not null")
+    told = stage(told.select("cls", "cls2", "copies", "links", F.least("first", F.coalesce("partner", "first")).alias("early")), "told")
     counted = lines.filter("line_no >= 0")
-    out = lookup(counted, told, "cls", "copies", counted.count())
+    out = lookup(counted, told, ["cls", "cls2"], "copies", counted.count())
     whole = lines.filter("line_no < 0")
     out = out.unionByName(whole, allowMissingColumns=True)
-    own = F.struct("doc_id", "th", "line_no")
     later = own > F.col("early")
     return out.select(
         "doc_id", "th", "line_no", "n", F.coalesce("links", F.lit(0)).alias("links"),

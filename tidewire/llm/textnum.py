@@ -8,41 +8,21 @@ here works on whole slices of a column with numpy; there is no loop over words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of the hash base, kept for the usual slice size only."""
-
-    up = down = np.empty(0, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n <= len(cls.up):
-            return cls.up, cls.down
-        size = max(n, 1 << 16)
-        up, down = _powers(_P, size), _powers(_PINV, size)
-        if size <= 2 * SLICE_BYTES:
-            cls.up, cls.down = up, down
-        return up, down
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -84,38 +64,56 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a slice: hash, start, end (bytes), document and line in it."""
+    """Words of a slice: hash, start, end (bytes), document and line in it.
 
-    def __init__(self, column: pa.Array):
+    ``key`` varies the hash, so that nobody can prepare words that collide; A-Z
+    hash as a-z.
+    """
+
+    def __init__(self, column: pa.Array, key: int = 0):
         self.data, self.off = raw(column)
         data, off, n = self.data, self.off, len(self.data)
+        self._key = key
         if n == 0:
             self.start = self.end = np.empty(0, np.int64)
-            self.hash = np.empty(0, np.uint64)
             self.doc = np.empty(0, np.int64)
-            self.line = np.empty(0, np.int64)
             return
         word = ~_SEP[data]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
-        before = np.empty(n, bool)
-        before[0] = True
-        before[1:] = ~word[:-1]
-        after = np.empty(n, bool)
-        after[-1] = True
-        after[:-1] = ~word[1:]
-        self.start = np.flatnonzero(word & (before | edge[:-1]))
-        self.end = np.flatnonzero(word & (after | edge[1:])) + 1
-        up, down = _Powers.get(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        begins = word & edge[:-1]
+        begins[1:] |= word[1:] & ~word[:-1]
+        begins[0] = word[0]
+        ends = word & edge[1:]
+        ends[:-1] |= word[:-1] & ~word[1:]
+        ends[-1] = word[-1]
+        self.start = np.flatnonzero(begins)
+        self.end = np.flatnonzero(ends) + 1
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(self.start, off)))
-        breaks = np.empty(n + 1, np.int64)
-        breaks[0] = 0
-        np.cumsum(data == 10, out=breaks[1:])
-        self.line = breaks[self.start] - breaks[off[self.doc]]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """Eight bytes at a time are mixed in; see LONG for the longest words."""
+        n, start, size = len(self.data), self.start, self.end - self.start
+        if not len(start):
+            return np.empty(0, np.uint64)
+        low = np.zeros(n + 8, np.uint8)
+        np.take(_LOWER, self.data, out=low[:n])
+        wide = np.ndarray((n + 1,), "<u8", low, strides=(1,))
+        h = mix((wide[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), self._key)
+        more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            h[more] = mix(h[more] ^ (wide[start[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]), self._key ^ k)
+            k += 8
+            more = more[size[more] > k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(low[start[i] : self.end[i]].tobytes(), self._key)
+        return h
+
+    @cached_property
+    def line(self) -> np.ndarray:
+        breaks = np.flatnonzero(self.data == 10)
+        return np.searchsorted(breaks, self.start) - np.searchsorted(breaks, self.off)[self.doc]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
