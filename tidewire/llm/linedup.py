@@ -336,6 +336,11 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             good[a[ok]] = True
             good[b[ok]] = True
         sel = np.flatnonzero(good)
+        if not len(sel):
+            continue
+        sel = sel[np.lexsort((cls[sel], pair[sel], tok[sel]))]  # several tasks may have sent a class: one row is enough
+        t, p, c = tok[sel], pair[sel], cls[sel]
+        sel = sel[np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (c[1:] != c[:-1])]]
         yield pa.RecordBatch.from_arrays([pa.array(tok[sel]), pa.array(pair[sel]), pa.array(cls[sel])], ["tok", "pair", "cls"])
 
 
@@ -411,7 +416,7 @@ def _links_of(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int
     _, col = np.unique(flat, return_inverse=True)
     shared = np.bincount(col) > 1  # a word of one set only is common to none
     new = np.cumsum(shared) - 1
-    use = shared[col]
+    use, width = shared[col], int(shared.sum())
     row, col, place = row[use], new[col[use]], place[use]
     before = place < mark[row]
     start = np.searchsorted(row, np.arange(m + 1))
@@ -436,7 +441,7 @@ def _links_of(tok: np.uint64, sets: list[np.ndarray], cls: np.ndarray, pair: int
             common, early = np.zeros((b - a, d - c), np.float32), np.zeros((b - a, d - c), np.float32)
             words = np.unique(np.concatenate([col[start[a] : start[b]], col[start[c] : start[d]]]))
             for low in range(int(words[0]), int(words[-1]) + 1, WIDE) if len(words) else ():
-                high = low + WIDE
+                high = min(low + WIDE, width)
                 right = matrix(c, d, low, high).T
                 common += matrix(a, b, low, high) @ right
                 early += matrix(a, b, low, high, before) @ right
@@ -471,18 +476,20 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     lines = first.filter("chunk is null").select("doc_id", "th", "line_no", "cls", "cls2", "n")
     own = F.struct("doc_id", "th", "line_no")
     classes = lines.filter("line_no >= 0").groupBy("cls", "cls2").agg(F.count("*").alias("copies"), F.min(own).alias("first"))
+    classes = stage(classes, "classes")
 
     postings = d.select("text").mapInArrow(_posting_batches(codes, key), "tok long, pair long, cls long, low long, high long, ni long")
     met = postings.repartition("tok", "pair").sortWithinPartitions("tok")
-    likely = stage(met.mapInArrow(_candidate_batches, "tok long, pair long, cls long"), "likely")
+    likely = met.mapInArrow(_candidate_batches, "tok long, pair long, cls long")
+    places = classes.select("cls", "cls2", "first.doc_id", "first.th", "first.line_no")
+    likely = stage(likely.join(places, "cls"), "likely")
     del postings, met
     release(spark)
-    at = stage(likely.select("cls").distinct().join(classes, "cls").select("cls", "cls2", "first.doc_id", "first.th", "first.line_no"), "firsts")
     wanted, texts = (
-        spark.sparkContext.broadcast(_merged(at.select(c).mapInArrow(_class_counts, "chunk int, part int, counts binary")).tobytes()) for c in ("cls", "th"))
+        spark.sparkContext.broadcast(_merged(likely.select(c).mapInArrow(_class_counts, "chunk int, part int, counts binary")).tobytes()) for c in ("cls", "th"))
     sets = d.select("th", "text").mapInArrow(_set_batches(codes, wanted, texts, key), "cls long, cls2 long, words binary")
     sets = sets.groupBy("cls", "cls2").agg(F.max("words").alias("words"))
-    full = likely.distinct().join(sets.join(at, ["cls", "cls2"]), "cls").select("tok", "pair", "cls", "cls2", "words", "doc_id", "th", "line_no")
+    full = likely.join(sets, ["cls", "cls2"]).select("tok", "pair", "cls", "cls2", "words", "doc_id", "th", "line_no")
     dealt = full.repartition("tok", "pair").sortWithinPartitions("tok", "pair")
     partner = F.struct(F.col("p_doc").alias("doc_id"), F.col("p_th").alias("th"), F.col("p_line").alias("line_no"))
     links = dealt.mapInArrow(_verify_batches, _LINKS).groupBy("cls", "cls2").agg(F.sum("links").alias("links"), F.min(partner).alias("partner"))

@@ -192,8 +192,12 @@ def _keep_batches(shared) -> object:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score reaches THRESHOLD, with their columns; all of them if there is no model."""
-    _, model = fit(docs, labels)
+    """The rows of ``docs`` whose score reaches THRESHOLD, with their columns; all of them if there is no model.
+
+    A first pass sums statistics, of which only numbers are shuffled; a second
+    scores every text where it is read, so no text is written twice.
+    """
+    model = train(statistics(docs), labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label")))
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
