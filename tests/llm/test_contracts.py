@@ -83,6 +83,48 @@ def test_overlaps(spark, odd):
     assert decontam.clean(odd, b).count() == len(TEXTS)
 
 
+def test_overlaps_at_edges_and_short_items(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(item[20:34])), (2, "Yes"), (3, "yes it is so"), (4, " ".join(item[:9])), (None, " ".join(item)), (5, "fine"), (5, "see " + " ".join(item)), (6, "well " + " ".join(item[:11] + ["x"] + item[12:13]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, "yes"), (3, "it is so that")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.overlaps(d, b).collect()) == [(0, 1), (1, 1), (2, 2), (5, 1), (6, 1)]
+    assert sorted(r.text for r in decontam.clean(d, b).collect()) == sorted([docs[2][1], docs[3][1], "fine"])
+
+
+def test_seeds_lose_no_run_with_three_substitutions():
+    """Recall of the masks for every way to change three of RUN words, counted without Spark."""
+    import itertools
+
+    spots = [{o + k for k, x in enumerate(m) if x == "1"} for m in decontam.MASKS for o in range(decontam.RUN - len(m) + 1)]
+    assert all(any(not s & set(changed) for s in spots) for changed in itertools.combinations(range(decontam.RUN), 3))
+
+
+def test_overlaps_against_brute_force(spark, sf_dir):
+    """Without seeds: every alignment of every item with every text that has a part of it planted."""
+    import random
+
+    rng = random.Random(4)
+    items = [[f"v{rng.randrange(400)}" for _ in range(rng.randrange(12, 40))] for _ in range(12)]
+    docs = []
+    for k in range(60):
+        own, a = rng.choice(items), rng.randrange(0, 8)
+        part = [f"u{k}x{i}" if rng.random() < 0.12 else w for i, w in enumerate(own[a : a + rng.randrange(8, 30)])]
+        docs.append([f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 5))] + part + [f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 5))])
+    want = set()
+    for d, x in enumerate(docs):
+        for i, y in enumerate(items):
+            for by in range(-len(y), len(x)):
+                lo, hi = max(0, -by), min(len(y), len(x) - by)
+                n = min(decontam.RUN, hi - lo)
+                if hi - lo >= min(decontam.SPAN, len(y)) and any(sum(y[s + k] == x[by + s + k] for k in range(n)) >= decontam.AGREE * n for s in range(lo, hi - n + 1)):
+                    want.add((d, i))
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc(version):
     w = warc.ArcWriter(version)
@@ -153,6 +195,33 @@ def test_sum_of_squares():
         assert gaps[at] >= 0 and total(gaps) == least
 
 
+def test_fewest_sequences():
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.integers(1, 2000, 3000))[::-1]
+    least = -(-int(sizes.sum()) // 2048)
+    state = packing.SumOfSquares(2048, least)
+    for x in sizes.tolist():
+        state.place(x)
+    assert state.made <= 1.02 * least
+
+
+def test_ids_are_the_tokenizers(spark):
+    """Whole sf0.01, and strings made to be cut wrongly."""
+    import random
+
+    words_ = packing.WordIds(packing._tokenizer_path())
+    rng = random.Random(1)
+    chars = "aAsStTrReEvVmMlLdD'''\"  \n\t\x1c\x00\x85\xa0²½ªµºÀÉ×÷ßÿ¿«0179!-_<|>"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += [None, "", "it's", "'", "'", "s", "'S", "l'l", "a'", "<|endoftext|> 's", "日本's", "İstanbul", "é", "|x", "a" * 70 + "'s" + "é" * 40]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for a in range(0, len(texts), 400):
+        part = pa.array(texts[a : a + 400], pa.string())
+        (ids, off), n = words_.ids(part), words_.counts(part)
+        want = [e.ids for e in words_.tokenizer.encode_batch([t or "" for t in texts[a : a + 400]], add_special_tokens=False)]
+        assert [ids[off[k] : off[k + 1] - 1].tolist() for k in range(len(want))] == want and n.tolist() == list(map(len, want))
+
+
 def test_kernel():
     ws = ["idiot", "idxiot", "clown", "aaaaaaa", "ab"]
 

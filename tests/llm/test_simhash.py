@@ -71,10 +71,30 @@ def test_chain_and_group(spark, monkeypatch):
         rows.append((99 - k, " ".join(base)))
     rows += [(1000 + k, " ".join(f"q{rng.integers(5000)}" for _ in range(30))) for k in range(60)]
     plain = check(spark, rows)
-    monkeypatch.setattr(S, "HOT", 2)
+    monkeypatch.setattr(S, "HOMES", 2)
+    monkeypatch.setattr(S, "MEMBERS", 5)
     assert check(spark, rows) == plain
 
 
+def test_work_at_one_anchor():
+    """50,000 members and 20 homes: homes times rows after them, not members squared."""
+    rng = np.random.default_rng(4)
+    m = 50_000
+    fp = rng.integers(0, 1 << 63, m, dtype=np.uint64)
+    fp[30_000] = fp[3] ^ np.uint64(7)
+    fp[40_000] = fp[30_000] ^ np.uint64(1 << 40)
+    home = np.arange(m) < 20
+    label, pairs = S.spanning(np.zeros(m, np.int64), fp, home)
+    assert pairs == 20 * (m - 1) - 190 and np.flatnonzero(label != np.arange(m)).tolist() == [30_000] and label[30_000] == 3
+
+
+def test_unique_texts_under_one_id_stay(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (2, "something else entirely here"), (2, "something else entirely here"), (3, None), (4, ""), (None, "no id")], "doc_id long, text string")
+    assert sorted(map(str, S.dedupe(df).collect())) == sorted(map(str, [df.collect()[k] for k in (0, 2, 4, 6)]))
+    other = {(r.doc_id, r.fingerprint): r.component_id for r in S.simhash_components(df).collect()}
+    assert sorted(v for (d, _), v in other.items() if d == 2) == [1, 2]
+
+
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)

@@ -15,20 +15,20 @@ from pyspark.sql import functions as F
 
 from .packing import _tokenizer_path, _word_ids
 from .storage import stage, table
-from .textnum import slices
+from .textnum import slices, tidy
 
 #: Lengths that one partition of the suffix sums holds.
 SPREAD = 1024
 
 
 def _counter(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(path).ids
+        count = _word_ids(path).counts
         for batch in batches:
             for at, to in slices(batch.column(1)):
                 part = batch.slice(at, to - at)
-                n = [len(ids) // 4 for ids in encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1)), pa.int64())], ["doc_id", "n_tokens"])
 
     return run
 

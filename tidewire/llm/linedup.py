@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .skew import lookup
 from .storage import release, stage, table
-from .textnum import Words, mix, signed, slices
+from .textnum import Words, mix, signed, slices, tidy
 
 NUM, DEN = 4, 5
 #: Lines without words are left alone; the bound on prefixes holds from one word on.
@@ -172,6 +172,7 @@ def _line_batches(key: int) -> object:
         full = [c if isinstance(c, pa.Array) else pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
         return pa.RecordBatch.from_arrays(full, names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
@@ -216,6 +217,7 @@ def _blocks(code: np.ndarray) -> np.ndarray:
 
 
 def _posting_batches(shared, key: int) -> object:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, memory = np.frombuffer(shared.value, np.uint16), _Memory()
         for batch in batches:
@@ -254,6 +256,7 @@ def _posting_batches(shared, key: int) -> object:
 def _set_batches(shared, wanted, texts, key: int) -> object:
     """th, text to sets of the lines whose class may be wanted, in order of rarity; reads only texts that may hold the first line of one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, want, hold, memory = *(np.frombuffer(x.value, np.uint16) for x in (shared, wanted, texts)), _Memory()
         for batch in batches:
@@ -272,6 +275,7 @@ def _set_batches(shared, wanted, texts, key: int) -> object:
     return run
 
 
+@tidy
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BITS, np.int64)
     for batch in batches:
@@ -311,6 +315,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+@tidy
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings sorted by tok: those with a partner that length, position and bitmap allow."""
     for tok, pair, cls, low, high, ni in _grouped(batches, 1):
@@ -347,6 +352,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 _LINKS = "cls long, cls2 long, links long, p_doc long, p_th long, p_line int"
 
 
+@tidy
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """tok, pair, cls, cls2, words, doc_id, th, line_no sorted by (tok, pair): links and earliest partner of each class."""
     for tok, pair, cls, cls2, words, doc, th, line in _grouped(batches, 2):

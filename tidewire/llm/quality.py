@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import stage, table
-from .textnum import Words, mix, slices
+from .textnum import Words, mix, slices, tidy
 
 FEATURES = ("words", "word_size", "symbols", "capitals", "marks", "digits", "new_pairs", "new_words", "stutter", "line_words")
 #: Shares of the shrunk covariance that come from the pooled one and from its diagonal.
@@ -86,6 +86,7 @@ def features(column: pa.Array) -> np.ndarray:
     return out
 
 
+@tidy
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch.column(1)):
@@ -99,6 +100,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
 
 
+@tidy
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, x to sums by class: (label, place, value) of 1, x and x x'."""
     total = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
@@ -152,6 +154,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Discriminant | None:
 
 
 def _score_batches(shared) -> object:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in batches:
@@ -180,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant | N
 
 
 def _keep_batches(shared) -> object:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in batches:

@@ -9,8 +9,9 @@ fingerprints meet at the home of either.  At each anchor homes are compared with
 all members by popcount over all 64 bits, so no link is lost and none invented.
 
 Equal fingerprints are one class before that, so a large group of exact copies
-is one row.  An anchor with more than ``HOT`` homes is dealt out in chunks of
-homes.  Only spanning links leave an anchor, never all pairs.
+is one row.  Where an anchor has more homes than ``HOMES`` or more members than
+``MEMBERS``, blocks of homes meet blocks of members, so the work of a task is
+bounded by their product.  Only spanning links leave an anchor, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .skew import lookup
 from .storage import stage, table
+from .textnum import tidy
 
 THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
-HOT = 50_000
+HOMES, MEMBERS = 5_000, 100_000
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -80,12 +84,13 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+@tidy
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 256):
             part = batch.slice(i, 256)
             fp = fingerprints(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), part.column(2)], ["doc_id", "fp", "th"])
 
 
 # -- the covering code ------------------------------------------------------
@@ -124,12 +129,12 @@ def anchors(half: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
     return out
 
 
+@tidy
 def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 20_000):
             part = batch.slice(i, 20_000)
             fp = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = part.column(1).to_numpy(zero_copy_only=False)
             cells, idx, homes = [], [], []
             for which, half in enumerate((fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))):
                 for rows, anchor, home in anchors(half):
@@ -138,8 +143,8 @@ def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     homes.append(np.full(len(rows), home))
             idx = np.concatenate(idx)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells)), pa.array(fp.view(np.int64)[idx]), pa.array(rep[idx]), pa.array(np.concatenate(homes))],
-                ["cell", "fp", "rep", "home"],
+                [pa.array(np.concatenate(cells)), pa.array(fp.view(np.int64)[idx]), pa.array(np.concatenate(homes))],
+                ["cell", "fp", "home"],
             )
 
 
@@ -161,92 +166,131 @@ def _contract(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def spanning(group: np.ndarray, fp: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """For rows sorted by group: each row's label, the first row it is linked with in its group."""
+def spanning(group: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, int]:
+    """For rows sorted by group, homes first: each row's label, the first row it is linked with, and the pairs compared.
+
+    Homes are compared with the rows after them in their group, other rows not with each other.
+    """
     n = len(group)
     label = np.arange(n)
-    end = np.searchsorted(group, group, "right") if n else np.empty(0, np.int64)
-    live = np.flatnonzero(end - np.arange(n) > 1)
-    got_i, got_j, held, shift = [], [], 0, 1
-    while len(live):
-        i, j = live, live + shift
-        ok = (home[i] | home[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= THRESHOLD)
-        if ok.any():
-            got_i.append(i[ok])
-            got_j.append(j[ok])
-            held += int(ok.sum())
-            if held > 1_000_000:
-                _contract(label, np.concatenate(got_i), np.concatenate(got_j))
-                got_i, got_j, held = [], [], 0
-        shift += 1
-        live = live[live + shift < end[live]]
+    rows = np.flatnonzero(home)
+    after = np.searchsorted(group, group[rows], "right") - rows - 1
+    rows, after = rows[after > 0], after[after > 0]
+    total = np.cumsum(after)
+    got_i, got_j, held, a = [], [], 0, 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+        own = after[a:b]
+        i = np.repeat(rows[a:b], own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        ok = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= THRESHOLD)
+        got_i.append(i[ok])
+        got_j.append(j[ok])
+        held += len(ok)
+        if held > PAIRS:
+            _contract(label, np.concatenate(got_i), np.concatenate(got_j))
+            got_i, got_j, held = [], [], 0
+        a = b
     if held:
         _contract(label, np.concatenate(got_i), np.concatenate(got_j))
-    return label
+    return label, int(total[-1]) if len(total) else 0
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (cell, chunk); a group that a batch cuts is carried over."""
-    kept: list[np.ndarray] | None = None
+    """Rows (cell, part, fp, home) sorted by cell and part, homes first; a group that a batch cuts is carried over."""
+    held: list[list[np.ndarray]] = []
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        cell, chunk, fp, rep, home = cols
-        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1])]) if len(cell) else cell
-        label = spanning(group, fp.view(np.uint64), home)
+        cell, part, fp, home = cols
+        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+        label, _ = spanning(group, fp.view(np.uint64), home)
         sel = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[sel]), pa.array(rep[label[sel]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[sel]), pa.array(fp[label[sel]])], ["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        cut = int(np.argmax(last))
-        kept = [c[cut:] for c in cols]
-        if cut:
-            yield solve([c[:cut] for c in cols])
-    if kept is not None and len(kept[0]):
-        yield solve(kept)
+        held.append(cols)
+        if held[0][0][0] == cols[0][-1] and held[0][1][0] == cols[1][-1]:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
+        held = [[c[cut:].copy() for c in cols]]
+        yield solve([c[:cut] for c in cols])
+    if held:
+        yield solve([np.concatenate(x) for x in zip(*held)])
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, th) of each row, staged; th is the hash of the text."""
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return stage(rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long, th long"), "fingerprints")
+
+
+def _classes(marks: DataFrame) -> DataFrame:
+    """(fp, rep, n, comp): the classes of equal fingerprints; comp is a fingerprint that all linked classes share."""
+    classes = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    rows = classes.select("fp").mapInArrow(_replicas, "cell long, fp long, home boolean")
+    size = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
+    hot = stage(size.filter((F.col("homes") > HOMES) | ((F.col("members") > MEMBERS) & (F.col("homes") > 0))), "hot_anchors")
+    dealt = rows.withColumn("part", F.lit(0))
+    if not hot.isEmpty():
+        h, m = (F.coalesce(F.ceil(F.col(c) / most), F.lit(1)).cast("int") for c, most in (("homes", HOMES), ("members", MEMBERS)))
+        own = F.pmod(F.xxhash64("fp"), h).cast("int")  # the block of a home, and of a member
+        other = F.pmod(F.xxhash64("fp", F.lit(1)), m).cast("int")
+        as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.struct((own * m + j).alias("part"), F.lit(True).alias("home"))))
+        as_member = F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.struct((i * m + other).alias("part"), F.lit(False).alias("home")))
+        both = F.concat(F.coalesce(as_home, F.expr("cast(array() as array<struct<part:int,home:boolean>>)")), as_member)
+        at = F.when(F.col("homes").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.col("home").alias("home")))).otherwise(both)
+        # hot anchors hold over HOMES rows each, so there are few; still they are joined by a shuffle if they outgrow a broadcast
+        dealt = rows.join(hot, "cell", "left").select("cell", "fp", F.explode(at).alias("at")).select("cell", "fp", "at.part", "at.home")
+    dealt = dealt.select("cell", "part", "fp", "home").repartition("cell", "part").sortWithinPartitions("cell", "part", F.desc("home"))
+    found = components(dealt.mapInArrow(_links, "a long, b long"))
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("comp"))
+
+
+def _named(classes: DataFrame) -> DataFrame:
+    """(fp, n, component_id) of classes: the smallest doc_id of all classes with the same comp."""
+    linked = classes.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    many = linked.filter("k > 1")
+    total = classes.count()
+    return lookup(classes.select("fp", "rep", "n", "comp"), many, "comp", "k", total).select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts, and those of separators only, have fingerprint zero
-    and are linked like any other.  A repeated row returns as often as it came.
-    Other columns are ignored.  An empty table gives no rows.  A null doc_id
-    takes part in no component but its class's.
+    and are linked like any other.  A repeated row returns as often as it came;
+    different texts under one doc_id are linked by their fingerprints only.
+    Other columns are ignored.  An empty table gives no rows.  A row without
+    doc_id is linked like any other, and names a component only where no row
+    has an id.
     """
-    marks = stage(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
-    classes = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    told = classes.filter("rep is not null")
-    rows = told.select("fp", "rep").mapInArrow(_replicas, "cell long, fp long, rep long, home boolean")
-    hot = stage(rows.filter("home").groupBy("cell").agg(F.count("*").alias("homes")).filter(F.col("homes") > HOT), "hot_anchors")
-    rows = rows.withColumn("chunk", F.lit(0))
-    if not hot.isEmpty():
-        n = F.ceil(F.col("homes") / HOT).cast("int")
-        at = F.pmod(F.xxhash64("fp"), n).cast("int")
-        chunks = F.when(F.col("homes").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
-        rows = rows.drop("chunk").join(hot, "cell", "left").select("cell", F.explode(chunks).alias("chunk"), "fp", "rep", "home", at.alias("at"))
-        rows = rows.withColumn("home", F.col("home") & (F.col("at").isNull() | (F.col("at") == F.col("chunk"))))
-    dealt = rows.select("cell", "chunk", "fp", "rep", "home").repartition("cell", "chunk").sortWithinPartitions("cell", "chunk")
-    found = components(dealt.mapInArrow(_links, "a long, b long"))
-    named = classes.join(found, classes["rep"] == found["node"], "left").filter((F.col("n") > 1) | (F.col("component") != F.col("rep")))
-    named = named.select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    marks = _marks(docs).select("doc_id", "fp")
+    classes = stage(_classes(marks), "linked")
+    named = _named(classes).filter("n > 1 or component_id is not null")
     out = lookup(marks, named, "fp", "n", marks.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; columns as they were.
+    """``docs`` with one row of each component, columns as they were.
 
-    Repeated rows of that doc_id become one.  Rows without doc_id stay.
+    It is the row with the smallest doc_id, of several with that id the one with
+    the smallest hash of the text; so different texts under one doc_id stay where
+    they aren't alike, and equal rows become one.  Rows without doc_id stay.
+    Null and empty texts are alike.
     """
-    kept = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    marks = _marks(docs.filter("doc_id is not null"))
+    classes = stage(_classes(marks.select("doc_id", "fp")), "linked")
+    firsts = marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("th", F.struct("doc_id", "th")).alias("th"))
+    winners = classes.join(firsts, "fp").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("w")).select("w.doc_id", "w.th")
+    rows = docs.filter("doc_id is not null").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    kept = rows.join(winners, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("row.*")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ here works on whole slices of a column with numpy; there is no loop over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cached_property
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cached_property, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,21 @@ _LOWER[65:91] += 32
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function that gives freed memory back when it ends: Python workers stay for later tasks, idle ones too."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return tidied
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ np.uint64(salt)
@@ -63,6 +79,24 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of ``data``; eight bytes at a time are mixed in, see LONG for the longest spans."""
+    size = end - start
+    if not len(start):
+        return np.empty(0, np.uint64)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = mix((wide[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), key)
+    more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ (wide[start[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]), key ^ k)
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), key)
+    return h
+
+
 class Words:
     """Words of a slice: hash, start, end (bytes), document and line in it.
 
@@ -93,22 +127,7 @@ class Words:
 
     @cached_property
     def hash(self) -> np.ndarray:
-        """Eight bytes at a time are mixed in; see LONG for the longest words."""
-        n, start, size = len(self.data), self.start, self.end - self.start
-        if not len(start):
-            return np.empty(0, np.uint64)
-        low = np.zeros(n + 8, np.uint8)
-        np.take(_LOWER, self.data, out=low[:n])
-        wide = np.ndarray((n + 1,), "<u8", low, strides=(1,))
-        h = mix((wide[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), self._key)
-        more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
-        while len(more):
-            h[more] = mix(h[more] ^ (wide[start[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]), self._key ^ k)
-            k += 8
-            more = more[size[more] > k]
-        for i in np.flatnonzero(size > LONG).tolist():
-            h[i] = xxhash.xxh3_64_intdigest(low[start[i] : self.end[i]].tobytes(), self._key)
-        return h
+        return hashes(_LOWER[self.data], self.start, self.end, self._key)
 
     @cached_property
     def line(self) -> np.ndarray:

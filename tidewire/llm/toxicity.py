@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import stage, table
-from .textnum import Words, mix, slices
+from .textnum import Words, mix, slices, tidy
 
 #: Labelled rows of a class that training reads, those with the smallest hash.
 SAMPLE = 5000
@@ -330,6 +330,7 @@ def learn(landmarks: list[str], words: list[tuple[str, int, int]], totals: dict[
     return Model(kernel, mapping @ weights, bias)
 
 
+@tidy
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, text to (word, label), each word once a text."""
     for batch in batches:
@@ -345,6 +346,7 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _near_batches(shared) -> object:
     """(word, t, c): the words that a landmark may resemble."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = pickle.loads(shared.value)
         for batch in batches:
@@ -356,6 +358,7 @@ def _near_batches(shared) -> object:
 
 
 def _model_batches(shared, name: str, scored: bool) -> object:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .skew import lookup
 from .storage import fresh_path, stage, table
+from .textnum import tidy
 
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -211,6 +212,7 @@ def _file_system(uri: str):
 def _writer(folder: str) -> Callable:
     """Rows (page_id, url, html, winner) to archive files; returns (path, records) of each file."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _file_system(folder)
         system.create_dir(at, recursive=True)
@@ -258,6 +260,7 @@ def _writer(folder: str) -> Callable:
 
 
 def _reader(folder: str) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(folder)
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string())])
