@@ -68,6 +68,21 @@ def test_widely_held_values_are_examples(spark):
     assert kinds == {**{i: {"example"} for i in range(4)}, 9: {"live"}}
 
 
+def test_copies_of_one_owner_are_examples(spark):
+    rows = [(i, f"token: {KEY}", "hot", f"r{i % 4}") for i in range(8)] + [(20 + i, "token: Z9y8X7w6V5u4T3s2", f"s{i}", "r") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kinds = {r.row.doc_id: {secrets.KINDS[a.rank] for a in r.added} for r in secrets.scan(df).collect()}
+    assert kinds == {**{i: {"example"} for i in range(8)}, 20: {"shared"}, 21: {"shared"}}
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é" + " ".join(f"{k:032x}" for k in range(1500)) + " password=secret99"
+    got = secrets.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    want = sorted((m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text)) + [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text)]
+    assert len(got) == 2 and all(sorted((s.start, s.rank, s.end) for s in r.spans) == sorted(want) for r in got)
+
+
 def test_overlaps(spark, odd):
     item = " ".join(f"w{i}" for i in range(40))
     swapped = item.split()
@@ -143,6 +158,27 @@ def test_arc(version):
     assert all(warc.page_of(warc.page_urn(p)) == p for p in (0, 1, -1, 2**63 - 1, -(2**63)))
 
 
+def test_urls_come_back(spark):
+    long = "http://h/" + "p" * 50_000
+    urls = ["http://a/b%20c", "http://a/b c\td", "http://a/100%", "ü ö", None, "", long]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)] + [(None, "http://n", "page 1"), (None, "http://n", "alone")], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert {r.page_id: r.url for r in got if r.page_id is not None} == dict(enumerate(["http://a/b%20c", "http://a/b%20c%09d", "http://a/100%", "ü%20ö", "-", "-", long]))
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id is None) == [("response", None), ("revisit", 1)]
+
+
+def test_old_header_lines():
+    block = b"1 0 x\n" + " ".join(warc.ARC_FIELDS[1]).encode() + b"\n"
+    head = f"filedesc://x 0.0.0.0 20000101000000 text/plain {len(block)}\n".encode() + block + b"\n"
+    lines = ["http://a/b c 20 d 1.2.3.4 20010203040506 text/html; charset=utf-8 2", "http://a 1.2.3.4 20010203040506 - 2", "what is this 2"]
+    data = head + b"".join(x.encode() + b"\nhi\n" for x in lines)
+    bad: list = []
+    got = [f for f, _ in warc.read_arc(data, bad)]
+    assert [f["URL"] for f in got] == ["http://a/b c 20 d", "http://a"] and got[0]["Content-type"] == "text/html; charset=utf-8" and bad == lines[2:]
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_arc(data))
+
+
 def test_archives(spark):
     rows = [(1, "http://a", "same", 0), (3, None, "same", 0), (2, "u", None, 0), (5, "u", "", 0), (4, "u", "h" * 100_000, 0), (3, "again", "same", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, winner int")

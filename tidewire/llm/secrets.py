@@ -1,9 +1,11 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates come from fixed patterns.  Each value's hash is counted by distinct
-owners and repositories over the whole corpus: a value that several owners have
-is a widely copied example, one that stays with its owner and looks random is
-live-looking.  Both kinds add spans over the value; the patterns' own spans stay.
+owners and repositories over the whole corpus.  A value of EXAMPLE_OWNERS owners or
+of EXAMPLE_REPOSITORIES repositories, be they of one owner, is a widely copied
+example.  Of the others, a value that looks random is live-looking if only one
+owner has it, and shared if two have.  These kinds add spans over the value; the
+patterns' own spans stay.
 
 Built-in functions only.  A hash is counted in three pre-aggregated steps and
 looked up by a join that broadcasts no more than its few hot hashes.
@@ -22,49 +24,59 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 FORMAT = r"gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-KINDS = ("assign", "access", "hex", "format", "live", "example")
+KINDS = ("assign", "access", "hex", "format", "live", "example", "shared")
 BASE = 3
 LEAST_VALUE = 6
-#: A value that this many owners have is an example.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners, or so many repositories of any owners, have is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 4
+#: Matches whose places are added up together.
+TOGETHER = 256
 PLACEHOLDER = r"(?i)example|sample|dummy|test|changeme|placeholder|your|xxxx|0000|1234"
 
 
-def _spans(rank: int, pattern: str, group: int = 0) -> str:
-    """Spans of a pattern's matches; value is a group that ends the match.
-
-    The text between matches and the matches themselves give the places, in code
-    points.
-    """
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    kind = "struct<start:bigint,rank:int,end:bigint,value:string>"
-    walk = f"""aggregate(sequence(0, size(m{rank}) - 1), named_struct('at', 0L, 'out', cast(array() as array<{kind}>)), (a, k) -> named_struct(
-        'at', a.at + char_length(g{rank}[k]) + char_length(m{rank}[k]),
-        'out', array_append(a.out, named_struct('start', a.at + char_length(g{rank}[k]), 'rank', {rank}, 'end', a.at + char_length(g{rank}[k]) + char_length(m{rank}[k]), 'value', v{rank}[k])))).out"""
-    return p, f"if(size(m{rank}) = 0, cast(array() as array<{kind}>), {walk})", group
+#: (pattern, group of the value), by rank; the value ends the match.
+_PATTERNS = ((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (FORMAT, 0))
+_KIND = "struct<start:bigint,rank:int,end:bigint,value:string>"
 
 
-_PATTERNS = (_spans(0, ASSIGN, 2), _spans(1, ACCESS), _spans(2, HEX), _spans(3, FORMAT))
+def _added_up(array: str, start: str, each: str) -> str:
+    """An array of ``each``, said of the total so far, t.at, and the next number, z, of ``array``."""
+    return f"aggregate({array}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (t, z) -> named_struct('at', t.at + z, 'out', array_append(t.out, {each}))).out"
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
-    """(row, owner, repository, spans): the patterns' spans of each row's whole text."""
+    """(row, owner, repository, spans): the patterns' spans of each row's whole text.
+
+    The text between matches and the matches themselves give the places, in code
+    points.  They are added up by blocks of TOGETHER matches, so that a text of many
+    matches costs no square of their number.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def named(c: str) -> F.Column:
         return F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
 
+    keep = ["row", "owner", "repository"]
     df = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), named(owner).alias("owner"), named(repository).alias("repository"), text.alias("t"))
-    keep = ["row", "owner", "repository", "t"]
-    df = df.select(*keep, *(F.expr(f"regexp_extract_all(t, '{p}', 0)").alias(f"m{k}") for k, (p, _, _) in enumerate(_PATTERNS)))
+    quoted = [p.replace("\\", "\\\\").replace("'", "\\'") for p, _ in _PATTERNS]
+    df = df.select(*keep, "t", *(F.expr(f"regexp_extract_all(t, '{p}', 0)").alias(f"m{k}") for k, p in enumerate(quoted)))
+    none = "cast(array() as array<string>)"
     more = []
-    for k, (p, _, group) in enumerate(_PATTERNS):
-        none = "cast(array() as array<string>)"
-        more.append(F.expr(f"if(size(m{k}) = 0, {none}, split(t, '{p}', -1))").alias(f"g{k}"))
+    for k, (p, (_, group)) in enumerate(zip(quoted, _PATTERNS)):
+        more.append(F.expr(f"if(size(m{k}) = 0, {none}, slice(split(t, '{p}', -1), 1, size(m{k})))").alias(f"g{k}"))
         more.append(F.expr(f"if(size(m{k}) = 0, {none}, {f"regexp_extract_all(t, '{p}', {group})" if group else f'm{k}'})").alias(f"v{k}"))
-    df = df.select(*keep[:3], *(f"m{k}" for k in range(len(_PATTERNS))), *more)
-    all_spans = "concat(" + ", ".join(w for _, w, _ in _PATTERNS) + ")"
-    return df.select(*keep[:3], F.expr(f"filter({all_spans}, x -> x.rank <> 0 or char_length(x.value) >= {LEAST_VALUE})").alias("spans"))
+    ranks = range(len(_PATTERNS))
+    df = df.select(*keep, *(f"m{k}" for k in ranks), *more)
+    size = [F.expr(f"zip_with(g{k}, m{k}, (x, y) -> cast(char_length(x) + char_length(y) as bigint))").alias(f"s{k}") for k in ranks]
+    df = df.select(*keep, *(f"m{k}" for k in ranks), *(f"v{k}" for k in ranks), *size)
+    blocks = "transform(sequence(0, greatest(size(s{k}) - 1, 0) div {n}), b -> slice(s{k}, cast(b as int) * {n} + 1, {n}))"
+    df = df.select("*", *(F.expr(blocks.format(k=k, n=TOGETHER)).alias(f"b{k}") for k in ranks))
+    sums = "transform(b{k}, x -> aggregate(x, 0L, (a, y) -> a + y))"
+    df = df.select("*", *(F.expr(_added_up(sums.format(k=k), "0L", "t.at")).alias(f"f{k}") for k in ranks))
+    ends = (F.expr(f"flatten(zip_with(b{k}, f{k}, (x, y) -> {_added_up('x', 'y', 't.at + z')}))").alias(f"e{k}") for k in ranks)
+    df = df.select(*keep, *(f"m{k}" for k in ranks), *(f"v{k}" for k in ranks), *ends)
+    spans = [f"transform(e{k}, (e, i) -> cast(named_struct('start', e - char_length(m{k}[i]), 'rank', {k}, 'end', e, 'value', v{k}[i]) as {_KIND}))" for k in ranks]
+    return df.select(*keep, F.expr(f"filter(concat({', '.join(spans)}), x -> x.rank <> 0 or char_length(x.value) >= {LEAST_VALUE})").alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -93,7 +105,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
     total = each.count()
     judged = lookup(each.select("key", "hash", "s"), known, "hash", "n", total)
     random = (F.char_length("s.value") >= 16) & (F.size(F.array_distinct(F.split("s.value", ""))) >= 8) & F.expr("s.value rlike '[0-9]'") & ~F.col("s.value").rlike(PLACEHOLDER)
-    rank = F.when(F.col("owners") >= EXAMPLE_OWNERS, F.lit(KINDS.index("example"))).when(random, F.lit(KINDS.index("live")))
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    rank = F.when(example, KINDS.index("example")).when(random & (F.col("owners") == 1), KINDS.index("live")).when(random, KINDS.index("shared"))
     span = F.struct((F.col("s.end") - F.char_length("s.value")).alias("start"), rank.alias("rank"), F.col("s.end").alias("end"))
     added = judged.filter(rank.isNotNull()).groupBy("key").agg(F.collect_set(span).alias("added"))
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint>>)")
@@ -119,11 +132,11 @@ def _walk(rank: int, pattern: str, group: int) -> str:
 _RANK = "CASE rank " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END"
 ORACLE = f"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-a AS ({" UNION ALL ".join(_walk(k, p, g) for k, (p, g) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (FORMAT, 0))))}),
-b AS (SELECT k, rank, start, start + length(hit) AS stop, value, source FROM a WHERE rank <> 0 OR length(value) >= {LEAST_VALUE}),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM b GROUP BY 1),
-x AS (SELECT DISTINCT k, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 5 WHEN length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
-    AND NOT regexp_matches(value, '{PLACEHOLDER}') THEN 4 END AS rank, stop - length(value) AS start, stop FROM b JOIN o USING (value)),
+a AS ({" UNION ALL ".join(_walk(k, p, g) for k, (p, g) in enumerate(_PATTERNS))}),
+b AS (SELECT k, rank, start, start + length(hit) AS stop, value, source, lang FROM a WHERE rank <> 0 OR length(value) >= {LEAST_VALUE}),
+o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT (source, lang)) AS repositories FROM b GROUP BY 1),
+x AS (SELECT DISTINCT k, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 5 WHEN length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+    AND NOT regexp_matches(value, '{PLACEHOLDER}') THEN CASE WHEN owners = 1 THEN 4 ELSE 6 END END AS rank, stop - length(value) AS start, stop FROM b JOIN o USING (value)),
 s AS (SELECT k, rank, start, stop FROM b UNION ALL SELECT k, rank, start, stop FROM x WHERE rank IS NOT NULL),
 n AS (SELECT k, string_agg({_RANK} || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
   string_agg(CASE WHEN rank < {BASE} THEN {_RANK} || ':' || start || ':' || stop END, ',' ORDER BY start, rank) AS own,

@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -43,9 +44,8 @@ class ArchiveError(ValueError):
 # -- ARC --------------------------------------------------------------------
 
 def _word(value: str | None) -> str:
-    """A header field cannot hold white space; nothing is written as a dash."""
-    out = "".join(f"%{ord(c):02X}" if c.isascii() and (c.isspace() or c == "%" or ord(c) < 32) else c for c in value or "")
-    return "".join("".join(f"%{b:02X}" for b in c.encode()) if c.isspace() else c for c in out) or "-"
+    """A header field cannot hold white space or controls, so these are percent-encoded; all else stays as it is, and nothing is a dash."""
+    return "".join("".join(f"%{b:02X}" for b in c.encode()) if c.isspace() or ord(c) < 32 or ord(c) == 127 else c for c in value or "") or "-"
 
 
 class ArcWriter:
@@ -72,8 +72,34 @@ class ArcWriter:
         return self.out.getvalue()
 
 
-def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record after the version block."""
+def _header(line: str, names: tuple[str, ...]) -> dict[str, str] | None:
+    """The fields of a header line, None if it cannot be read.
+
+    Old archives have spaces in URLs and content types, so fields behind the type
+    are taken from the end, and the date, with the address before it, parts URL and type.
+    """
+    values = line.split(" ")
+    if len(values) == len(names):
+        return dict(zip(names, values))
+    if names[:4] != ARC_FIELDS[1][:4] or len(values) < len(names):
+        return None
+    tail = len(names) - 4
+    front, back = values[:-tail], values[len(values) - tail :]
+    dates = [k for k in range(2, len(front) - 1) if front[k].isdigit() and len(front[k]) in (8, 12, 14)]
+    at = next((k for k in dates if re.fullmatch(r"-|[0-9.]+|[0-9A-Fa-f:]+", front[k - 1])), None)
+    if at is None:
+        return None
+    return dict(zip(names, [" ".join(front[: at - 1]), front[at - 1], front[at], " ".join(front[at + 1 :]), *back]))
+
+
+def read_arc(data: bytes, bad: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, content) of each record after the version block.
+
+    A record whose header line has a length but cannot be read otherwise raises
+    ArchiveError; with a list in ``bad`` it is left out and its line put there.
+    Without a length, or with fewer bytes than declared, nothing behind it can be
+    found, so that raises always.
+    """
     at, names = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
@@ -82,9 +108,9 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if end == at or data[at:end].strip() == b"":  # blank lines between records
             at = end + 1
             continue
-        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         try:
-            length = int(values[-1])
+            length = int(line.rpartition(" ")[2])
         except ValueError:
             raise ArchiveError(f"no length in the header line at byte {at}") from None
         block = data[end + 1 : end + 1 + length]
@@ -93,13 +119,15 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if names is None:
             lines = block.decode("utf-8", "replace").split("\n")
             version = lines[0].split(" ")[0]
-            if not values[0].startswith("filedesc://") or version not in ("1", "2"):
+            if not line.startswith("filedesc://") or version not in ("1", "2"):
                 raise ArchiveError("no version block")
-            names = tuple(lines[1].split(" ")) if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[int(version)]
+            names = tuple(lines[1].split()) if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[int(version)]
+        elif fields := _header(line, names):
+            yield fields, block
+        elif bad is None:
+            raise ArchiveError(f"{len(line.split(' '))} fields in the header line at byte {at}, {len(names)} expected")
         else:
-            if len(values) != len(names):
-                raise ArchiveError(f"{len(values)} fields in the header line at byte {at}, {len(names)} expected")
-            yield dict(zip(names, values)), block
+            bad.append(line)
         at = end + 1 + length
 
 
@@ -295,10 +323,27 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"))
-    known = stage(rows.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")), "payloads")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    decided = lookup(rows, known, "sha1", "n", total).select("page_id", "url", "html", "winner")
-    return stage(decided.mapInArrow(_writer(folder), "path string, records long"), "archives")
+    known = stage(rows.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    repeated, total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    marked = _marked(rows, known, repeated)
+    single = marked.filter(~F.col("maybe")).select("page_id", "url", "html", F.lit(None).cast("long").alias("winner"))
+    several = lookup(marked.filter("maybe").drop("maybe"), known, "sha1", "n", total).select("page_id", "url", "html", "winner")
+    return stage(single.unionByName(several).mapInArrow(_writer(folder), "path string, records long"), "archives")
+
+
+def _marked(rows: DataFrame, known: DataFrame, repeated: int) -> DataFrame:
+    """``rows`` and whether their digest may be one of ``known``: others need no look-up, and their html no shuffle.
+
+    The digests are bits of a bitmap with room for 32 times their number, of 2 ** 28
+    bits at most; it is broadcast in rows of 4 KB.
+    """
+    bits = min(1 << 28, max(1 << 15, 1 << (32 * repeated).bit_length()))
+    place = F.pmod(F.xxhash64("sha1"), F.lit(bits)) + 1
+    bitmap = known.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = rows.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return at.join(F.broadcast(bitmap), "bucket", "left").select(*rows.columns, maybe.alias("maybe"))
 
 
 def read_archives(files: DataFrame, folder: str | None = None) -> DataFrame:
