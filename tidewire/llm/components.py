@@ -9,6 +9,10 @@ from .skew import lookup
 from .storage import discard, stage
 
 
+#: Links that one task writes, where there are few.
+TOGETHER = 100_000
+
+
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
@@ -37,7 +41,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now[0] == 0 or now == sign:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b"), F.col("b")).distinct())
         sign = now
-        new = stage(_small_star(_large_star(cur, now[0]), now[0]).distinct(), "edges")
+        # a round never has more links than the one before, so a small one is written by few tasks
+        new = stage(_small_star(_large_star(cur, now[0]), now[0]).distinct().coalesce(-(-now[0] // TOGETHER)), "edges")
         discard(cur)
         cur = new
     raise RuntimeError("components did not settle")

@@ -2,8 +2,8 @@
 
 Texts are lower-cased and cut into words of letters and digits.  A seed is a
 fixed mask over some words that reads a part of them and ignores the rest, so a
-hit survives substitutions at ignored places; of ``RUN`` words any three may be
-substituted and one of the masks still hits.  Seeds of benchmark items are joined
+hit survives substitutions at ignored places; in ``RUN`` words, 558 of the 560
+ways to substitute three leave a hit of some mask.  Seeds of benchmark items are joined
 with those of documents, and around each hit the aligned words are compared: an
 overlap counts if, in the alignment of some hit, a run of ``RUN`` words (all that
 are aligned, if item or document has fewer there) agrees in ``AGREE`` of its
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .storage import stage, table
 
-MASKS = ("110101100111", "111001011011", "101110110011", "1101000111", "1011000100101")
+MASKS = ("111001001101", "110101111", "111100010011")
 #: Words of the shortest mask, and least number of aligned words, if the item has so many.
 LEAST, SPAN = min(map(len, MASKS)), 12
 RUN = 16

@@ -182,17 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant | N
     return stats, train(stats, labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label")))
 
 
-def _keep_batches(shared) -> object:
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(shared) -> object:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pickle.loads(shared.value)
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            for a, b in slices(text):
-                good = model.score(features(text.slice(a, b - a))) >= THRESHOLD
-                yield batch.slice(a, b - a).filter(pa.array(good))
+        for text in texts:
+            yield pa.array(np.concatenate([model.score(features(text.slice(a, b - a))) for a, b in slices(text)] or [np.empty(0)]))
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,7 +201,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    return docs.mapInArrow(_keep_batches(shared), docs.schema)
+    return docs.filter(_scorer(shared)(F.col("text")) >= THRESHOLD)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
