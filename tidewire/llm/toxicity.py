@@ -2,17 +2,16 @@
 
 The kernel compares two words by the three-letter subsequences they share, each
 weighted down for its gaps, so ``idxiot`` and ``i-d-i-o-t`` stay close to the word
-they hide.  A word's features are its kernel values against landmark words, mapped
-by the Nystroem factor of the landmarks' own kernel matrix; a linear SVM gives it
-a margin, and a text has the margin of its worst word.  Words whose values are all
-under ``FLOOR`` have the margin of an unknown word.
-
-The SVM learns from the words of labelled texts: each counts for toxic by the
-toxic texts that hold it and, ``CAUTION`` times as heavily, for clean by the clean
-ones.  Landmarks are words that speak for toxic texts, and clean ones that come
-close.  Training reads a bounded sample of labelled rows, at most ``SAMPLE`` a
-class; scoring reads every word of every text.  A bound that never lies below the
-kernel spares most words the full computation.
+they hide.  Landmarks are words, and beginnings of words, that speak for toxic
+texts.  A text is pooled from its different words: for each landmark the largest
+kernel value over ``FLOOR`` of any word, and the sum of them in proportion to the
+number of words.  Both are mapped by the Nystroem factor of the landmarks' own
+kernel matrix, and a linear SVM gives the text its margin.
+
+The SVM is trained on the labelled texts, and on toxic ones once more with their
+telling words disguised.  Training reads a bounded sample of labelled rows, at
+most ``SAMPLE`` a class; scoring reads every word of every text.  A bound that
+never lies below the kernel spares most words the full computation.
 """
 
 from __future__ import annotations
@@ -25,33 +24,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stage, table
+from .storage import discard, stage, table
 from .textnum import Words, mix, slices, tidy
 
 #: Labelled rows of a class that training reads, those with the smallest hash.
 SAMPLE = 5000
-#: Landmarks that speak for toxic texts, and near misses from clean ones.
-TOXIC, NEAR = 128, 16
-#: Different words that the SVM learns from, those in most texts.
-WORDS = 20_000
-CAUTION = 3.0
-#: Weight of a toxic landmark's disguises, with a letter put in, beside its own.
-DISGUISE = 0.5
+#: Landmarks at most, chosen from so many words that tell most; less alike to each other than ALIKE.
+LANDMARKS, CANDIDATES, ALIKE = 128, 1500, 0.7
+#: Letters of the beginnings of words that may be landmarks.
+STEMS = (4, 5, 6, 7)
+#: Clean texts weigh so much more than toxic ones, and disguised texts so much less.
+CAUTION, DISGUISE = 3.0, 0.5
 #: How many words of a sample may become landmarks by chance alone; the evidence asked for follows from it.
 CHANCE = 0.1
-#: Words whose margins a task keeps.
-REMEMBER = 2_000_000
-DECAY, SPAN, FLOOR = 0.7, 6, 0.4
+#: Places for words that a task remembers.
+REMEMBER = 1 << 19
+DECAY, SPAN, FLOOR = 0.7, 6, 0.5
 LONGEST = 24  # with both edges
 _LETTERS = LONGEST - 2
 WIDTHS = (7, 9, 11, 13, 16, LONGEST)
 THRESHOLD = 0.3
 
+#: a-z are letters, digits are those they stand for, and bytes of other letters have 36 codes; the rest is left out.
 _CODE = np.full(256, 255, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(26)
-_CODE[128:] = 26 + np.arange(128) % 4
-#: Stands before and after each word, so that its beginning and end count.
-_EDGE = 30
+_CODE[list(b"013457")] = [ord(c) - 97 for c in "oieast"]
+_CODE[128:] = 26 + np.arange(128) % 36
+_BITS = 6
+#: Stands before and after each word, so that its beginning and end count; and after that.
+_EDGE, _NONE = 62, 63
+_SPELL = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + bytes(2), np.uint8)
 _STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -60,7 +62,7 @@ class Letters:
 
     ``code`` (words, LONGEST), ``size``, ``key`` (a hash, rising); ``of`` and ``doc`` say for each
     occurrence which word it is and in which row.  Longer words are cut into
-    pieces that overlap by half.  Four or more single letters in a row, with
+    pieces that overlap by half.  Three or more single letters in a row, with
     spaces between, are also one word.
     """
 
@@ -82,7 +84,7 @@ class Letters:
         one = np.flatnonzero(size == 1)
         if len(one):
             for run in np.split(one, np.flatnonzero((np.diff(one) != 1) | (doc[one[1:]] != doc[one[:-1]])) + 1):
-                if len(run) >= 4:
+                if len(run) >= 3:
                     extra_code.append(letter[begin[run]])
                     extra_doc.append(doc[run[0]])
         for t in np.flatnonzero(size > _LETTERS):
@@ -93,7 +95,7 @@ class Letters:
             for a in range(0, max(1, len(c) - _LETTERS // 2), _LETTERS // 2):
                 flat_code.append(c[a : a + _LETTERS])
                 flat_doc.append(d)
-        normal = np.flatnonzero((size >= 3) & (size <= _LETTERS))
+        normal = np.flatnonzero((size >= 1) & (size <= _LETTERS))
         if flat_code:
             more = np.array([len(c) for c in flat_code])
             letter = np.concatenate([letter, *flat_code])
@@ -102,7 +104,7 @@ class Letters:
             self.doc = np.concatenate([doc[normal], np.array(flat_doc)])
         else:
             begin, size, self.doc = begin[normal], size[normal], doc[normal]
-        grid = np.full((len(size), LONGEST), 31, np.uint8)
+        grid = np.full((len(size), LONGEST), _NONE, np.uint8)
         if len(size):
             col = np.arange(_LETTERS)
             at = begin[:, None] + col
@@ -131,7 +133,7 @@ def _triples(code: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, n
     col = np.arange(code.shape[1])
     for a, b, weight in _STEPS:
         last = max(0, code.shape[1] - b)
-        ids = (code[:, :last] << 10) | (code[:, a : a + last] << 5) | code[:, b:]
+        ids = (code[:, :last] << 2 * _BITS) | (code[:, a : a + last] << _BITS) | code[:, b:]
         yield ids, (col[:last] + b) < size[:, None], weight
 
 
@@ -143,26 +145,27 @@ def _features(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
         vals.append(np.where(ok, weight, 0.0))
     ids, vals = np.concatenate(ids, 1), np.concatenate(vals, 1)
     row = np.repeat(np.arange(len(code)), ids.shape[1])
-    key = row.astype(np.int64) * (1 << 15) + ids.ravel()
+    key = row.astype(np.int64) * (1 << 3 * _BITS) + ids.ravel()
     real = ids.ravel() >= 0
     uniq, inv = np.unique(key[real], return_inverse=True)
     total = np.bincount(inv, vals.ravel()[real], len(uniq))
-    return uniq >> 15, uniq & 0x7FFF, total
+    return uniq >> 3 * _BITS, uniq & ((1 << 3 * _BITS) - 1), total
 
 
 def spell(code: np.ndarray) -> np.ndarray:
-    """Rows of codes as words: a-z, and four more characters for the bytes of other letters."""
-    inner = np.where(code < _EDGE, code + 97, 0)[:, 1:].astype(np.uint8)
-    return np.char.decode(np.ascontiguousarray(inner).view(f"S{LONGEST - 1}").ravel())
+    """Rows of codes as words: a-z, and other characters for the bytes of other letters."""
+    return np.char.decode(np.ascontiguousarray(_SPELL[code[:, 1:]]).view(f"S{LONGEST - 1}").ravel())
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of words written by spell(), of as many letters as fit."""
-    grid = np.full((len(words), LONGEST), 31, np.int32)
+    """Codes of words written by spell(), of as many letters as fit; ``>`` at the end: a beginning, which has no edge there."""
+    grid = np.full((len(words), LONGEST), _NONE, np.int32)
     size = np.zeros(len(words), np.int64)
+    back = np.zeros(256, np.int64)
+    back[_SPELL[:_EDGE]] = np.arange(_EDGE)
     for k, word in enumerate(words):
-        c = np.frombuffer(word.encode(), np.uint8)[:_LETTERS] - 97
-        c = np.r_[_EDGE, c, _EDGE]
+        c = back[np.frombuffer(word.rstrip(">").encode(), np.uint8)[:_LETTERS]]
+        c = np.r_[_EDGE, c] if word.endswith(">") else np.r_[_EDGE, c, _EDGE]
         grid[k, : len(c)] = c
         size[k] = len(c)
     return grid, size
@@ -174,11 +177,14 @@ class Kernel:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         row, number, value = _features(*encode(landmarks))
-        self.table = np.zeros((1 << 15, len(landmarks)), np.float32)
-        self.table[number, row] = value
+        known, at = np.unique(number, return_inverse=True)
+        self.place = np.zeros(1 << 3 * _BITS, np.int32)  # row of the table; the first one is of what no landmark has
+        self.place[known] = 1 + np.arange(len(known))
+        self.table = np.zeros((1 + len(known), len(landmarks)), np.float32)
+        self.table[1 + at, row] = value
         norm = np.sqrt((self.table**2).sum(0))
         self.table /= np.where(norm > 0, norm, 1)
-        self.top = self.table.max(1) if landmarks else np.zeros(1 << 15, np.float32)
+        self.top = self.table.max(1, initial=0)[self.place]
 
     def bound(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         """At least the largest kernel value of each word."""
@@ -194,7 +200,6 @@ class Kernel:
 
     def values(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.zeros((len(code), len(self.landmarks)), np.float32)
-        used = self.top > 0
         for rows, width in _alike(size):
             for a in range(0, len(rows), 2000):
                 own = rows[a : a + 2000]
@@ -204,58 +209,99 @@ class Kernel:
                 weight = np.concatenate([np.full(i.shape[1], w) for i, _, w in steps])
                 square = ok @ weight**2
                 # weights of a subsequence that comes more than once are added before they are squared
-                told = np.sort(np.where(ok, ids, -1 - np.arange(len(weight))).astype(np.int16), 1)
+                told = np.sort(np.where(ok, ids, -1 - np.arange(len(weight))).astype(np.int32), 1)
                 again = np.flatnonzero((told[:, 1:] == told[:, :-1]).any(1))
                 if len(again):
                     row, _, value = _features(part[again], n[again])
                     square[again] = np.bincount(row, value * value, len(again))
-                row, at = np.nonzero(ok & used[ids])
+                place = np.where(ok, self.place[ids], 0)
+                row, at = np.nonzero(place)
                 if len(row):
                     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    total = np.add.reduceat(self.table[ids[row, at]] * weight[at, None].astype(np.float32), first, axis=0)
+                    total = np.add.reduceat(self.table[place[row, at]] * weight[at, None].astype(np.float32), first, axis=0)
                     out[own[row[first]]] = total / np.sqrt(square[row[first]])[:, None]
         return out
 
 
+def disguised(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with an x put into their middle; the longest as they are."""
+    out, at = code.copy(), np.arange(LONGEST)
+    middle = size // 2
+    short = size < LONGEST
+    moved = np.where(at < middle[:, None], at, np.maximum(at - 1, 0))
+    grown = np.take_along_axis(code, moved, 1)
+    grown[np.arange(len(code)), middle] = ord("x") - 97
+    out[short] = grown[short]
+    return out, size + short
+
+
+class Pool:
+    """Texts as vectors: for each landmark the largest value of a word, then their sum for each WORDS words."""
+
+    WORDS, MORE = 50.0, 20.0  # MORE words are added to each text, so that short ones don't jump
+
+    def __init__(self, kernel: Kernel):
+        self.kernel = kernel
+        self.key, self.at = np.zeros(REMEMBER, np.uint64), np.zeros(REMEMBER, np.int32)
+        self.known = np.zeros((1, len(kernel.landmarks)), np.float32)  # the first row: no landmark is near
+
+    def values(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are near a landmark, and by how much more than FLOOR."""
+        good = np.flatnonzero(self.kernel.bound(code, size) > FLOOR)
+        over = np.maximum(self.kernel.values(code[good], size[good]) - FLOOR, 0)
+        some = over.max(1, initial=0) > 0
+        return good[some], over[some]
+
+    def _of_words(self, x: Letters) -> np.ndarray:
+        """Row of ``known`` for each word; words seen before are looked up."""
+        slot = (x.key % np.uint64(REMEMBER)).astype(np.int64)
+        at = self.at[slot].astype(np.int64)
+        new = np.flatnonzero(self.key[slot] != x.key)
+        good, over = self.values(x.code[new], x.size[new])
+        at[new] = 0
+        at[new[good]] = len(self.known) + np.arange(len(good))
+        self.known = np.concatenate([self.known, over])
+        self.key[slot[new]], self.at[slot[new]] = x.key[new], at[new]
+        return at
+
+    def texts(self, column: pa.Array, hide: bool = False) -> np.ndarray:
+        """A row for each text; with ``hide``, as if its telling words were disguised."""
+        n = len(self.kernel.landmarks)
+        out = np.zeros((len(column), 2 * n), np.float32)
+        x = Letters(column)
+        if not len(x.size) or not n:
+            return out
+        if len(self.known) > REMEMBER // 4:
+            self.__init__(self.kernel)
+        at = self._of_words(x)
+        pair = np.unique(x.doc.astype(np.int64) * len(x.size) + x.of)
+        doc, word = pair // len(x.size), pair % len(x.size)
+        count = np.bincount(doc, minlength=len(column))
+        near = at[word] > 0
+        doc, word = doc[near], word[near]
+        value = self.known
+        if hide:
+            telling = np.flatnonzero(at)
+            good, over = self.values(*disguised(x.code[telling], x.size[telling]))
+            value = np.zeros((1 + len(good), n), np.float32)
+            value[1:] = over
+            at = np.zeros_like(at)
+            at[telling[good]] = 1 + np.arange(len(good))
+        np.maximum.at(out[:, :n], doc, value[at[word]])
+        np.add.at(out[:, n:], doc, value[at[word]])
+        out[:, n:] *= (self.WORDS / (count + self.MORE))[:, None].astype(np.float32)
+        return out
+
+
 class Model:
-    """Kernel, Nystroem map, SVM weights and the sigmoid that turns margins into scores."""
+    """Kernel, weights of pooled texts (the Nystroem map is in them), and the sigmoid that turns margins into scores."""
 
     def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.kernel, self.weights, self.bias, self.slope, self.shift = kernel, weights, bias, slope, shift
-        self.key, self.margin = np.empty(0, np.uint64), np.empty(0)
-
-    def of_words(self, x: Letters) -> np.ndarray:
-        """The margin of each word; those of up to REMEMBER words seen before are looked up."""
-        margin = np.full(len(x.size), self.bias)
-        at = np.searchsorted(self.key, x.key)
-        seen = np.zeros(len(x.key), bool)
-        inside = at < len(self.key)
-        seen[inside] = self.key[at[inside]] == x.key[inside]
-        margin[seen] = self.margin[at[seen]]
-        new = np.flatnonzero(~seen)
-        good = new[self.kernel.bound(x.code[new], x.size[new]) > FLOOR]
-        values = self.kernel.values(x.code[good], x.size[good])
-        margin[good] = np.where(values.max(1, initial=0) > FLOOR, values @ self.weights + self.bias, self.bias)
-        if len(self.key) + len(new) > REMEMBER:
-            self.key, self.margin, new = np.empty(0, np.uint64), np.empty(0), np.arange(len(x.key))
-        key = np.concatenate([self.key, x.key[new]])
-        order = np.argsort(key, kind="stable")
-        self.key, self.margin = key[order], np.concatenate([self.margin, margin[new]])[order]
-        return margin
-
-    def margins(self, column: pa.Array) -> np.ndarray:
-        """The largest margin of any word of each text, or the bias."""
-        out = np.full(len(column), self.bias)
-        x = Letters(column)
-        if not len(x.size):
-            return out
-        margin = self.of_words(x)
-        used = np.flatnonzero(margin[x.of] > self.bias)
-        np.maximum.at(out, x.doc[used], margin[x.of[used]])
-        return out
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -30, 30)))
+    def score(self, pooled: np.ndarray) -> np.ndarray:
+        margin = pooled.astype(np.float64) @ self.weights + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 def _nystroem(kernel: Kernel) -> np.ndarray:
@@ -264,7 +310,7 @@ def _nystroem(kernel: Kernel) -> np.ndarray:
     return vector * (1 / np.sqrt(np.maximum(value, 0) + 0.05)) @ vector.T
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2000.0, rounds: int = 100) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Weighted linear SVM with squared hinge loss, by Newton steps on the primal; weights add up to one."""
     x = np.c_[x, np.ones(len(x))]
     keep = np.eye(x.shape[1])
@@ -306,87 +352,80 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-2), float(b)
 
 
-def disguised(word: str) -> list[str]:
-    """The word with one letter put in, anywhere inside."""
-    return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in "xe"]
-
-
-def learn(landmarks: list[str], words: list[tuple[str, int, int]], totals: dict[int, int]) -> Model:
-    """The model but for its sigmoid, from (word, toxic texts, clean texts) and the texts of each class."""
+def learn(landmarks: list[str], x: np.ndarray, y: np.ndarray, hidden: np.ndarray) -> Model:
+    """The model from pooled texts, their labels (0 or 1) and which of them are disguised copies."""
     kernel = Kernel(landmarks)
-    known = {w: t for w, t, c in words if t / max(1, totals[1]) > CAUTION * c / max(1, totals[0])}
-    extra = [(v, DISGUISE * known[w] / (2 * len(w) - 2), 0) for w in landmarks if w in known and len(w) > 3 for v in disguised(w)]
-    words = [*words, *extra]
-    values = kernel.values(*encode([w for w, _, _ in words]))
-    use = values.max(1, initial=0) > FLOOR
-    x = values[use].astype(np.float64) @ (mapping := _nystroem(kernel))
-    t, c = (np.array([w[k] for w in words], float)[use] for k in (1, 2))
-    # smoothed counts as shares of their class; an unknown word, at the origin, counts as a clean one
-    share = np.r_[t / max(1, totals[1]), CAUTION * c / max(1, totals[0]), 0.05]
-    x2 = np.concatenate([x, x, np.zeros((1, x.shape[1]))])
-    y = np.r_[np.ones(len(t)), -np.ones(len(c)), -1]
-    some = share > 0
-    weights, bias = _svm(x2[some], y[some], share[some] / share.sum())
-    return Model(kernel, mapping @ weights, bias)
+    one = _nystroem(kernel)
+    mapping = np.block([[one, np.zeros_like(one)], [np.zeros_like(one), one]])
+    sign = np.where(y > 0, 1.0, -1.0)
+    count = np.array([max(1, ((y == k) & ~hidden).sum()) for k in (0, 1)])
+    weight = np.where(y > 0, 1 / count[1], CAUTION / count[0]) * np.where(hidden, DISGUISE, 1.0)
+    weights, bias = _svm(x.astype(np.float64) @ mapping, sign, weight / weight.sum())
+    model = Model(kernel, mapping @ weights, bias)
+    model.slope, model.shift = _sigmoid((x.astype(np.float64) @ model.weights + bias)[~hidden], sign[~hidden])
+    return model
 
 
 @tidy
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, text to (word, label), each word once a text."""
+    """label, text to (word, label), each word and each beginning of one once a text."""
     for batch in batches:
         for a, b in slices(batch.column(1)):
             part = batch.slice(a, b - a)
             label = part.column(0).to_numpy(zero_copy_only=False)
             x = Letters(part.column(1))
-            pairs = np.unique(x.doc.astype(np.int64) * (len(x.size) + 1) + x.of)
-            doc, word = pairs // (len(x.size) + 1), pairs % (len(x.size) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(spell(x.code)[word], pa.string()), pa.array(label[doc], pa.int32())], ["word", "label"])
+            if not len(x.size):
+                continue
+            word = spell(x.code)
+            for stem in (None, *STEMS):
+                own = word if stem is None else np.char.add(word.astype(f"U{stem}"), ">")
+                name, at = np.unique(own, return_inverse=True)
+                used = x.of if stem is None else x.of[x.size[x.of] - 2 > stem]
+                doc = x.doc if stem is None else x.doc[x.size[x.of] - 2 > stem]
+                pair = np.unique(doc.astype(np.int64) * len(name) + at[used])
+                yield pa.RecordBatch.from_arrays([pa.array(name[pair % len(name)], pa.string()), pa.array(label[pair // len(name)], pa.int32())], ["word", "label"])
 
 
-def _near_batches(shared) -> object:
-    """(word, t, c): the words that a landmark may resemble."""
+def _sample_batches(shared) -> object:
+    """label, text to pooled texts; toxic ones also disguised."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = pickle.loads(shared.value)
+        pool = Pool(pickle.loads(shared.value))
         for batch in batches:
-            for a in range(0, len(batch), 20_000):
-                part = batch.slice(a, 20_000)
-                yield part.filter(pa.array(kernel.bound(*encode(part.column(0).to_pylist())) > FLOOR))
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                toxic = part.filter(pa.array(part.column(0).to_numpy(zero_copy_only=False) == 1))
+                for rows, hide in ((part, False), (toxic, True)):
+                    x = pool.texts(rows.column(1), hide)
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([hide] * len(x), pa.bool_()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "hidden", "x"])
 
     return run
 
 
-def _model_batches(shared, name: str, scored: bool) -> object:
+def _score_batches(shared) -> object:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
+        pool = Pool(model.kernel)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                got = model.score(part.column(1)) if scored else model.margins(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], [name, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(pool.texts(part.column(1))), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
-def _landmarks(strong: list[str], clean: list[str]) -> list[str]:
-    """The first TOXIC words that speak for toxic texts and differ from each other, then clean words that come nearest."""
-    picked: list[str] = []
-    if strong:
-        alike = Kernel(strong).values(*encode(strong))
-        chosen: list[int] = []
-        for k in range(len(strong)):
-            if not chosen or alike[k, chosen].max() < 0.7:
-                chosen.append(k)
-            if len(chosen) == TOXIC:
-                break
-        picked = [strong[k] for k in chosen]
-    rest = sorted(set(clean) - set(picked))
-    if picked and rest:
-        near = Kernel(picked).values(*encode(rest)).max(1)
-        picked += [rest[k] for k in np.argsort(-near, kind="stable")[:NEAR]]
-    return picked
+def _landmarks(strong: list[str]) -> list[str]:
+    """Of the words that speak for toxic texts, most telling first, up to LANDMARKS that differ from each other."""
+    if not strong:
+        return []
+    alike = Kernel(strong).values(*encode(strong))
+    chosen: list[int] = []
+    for k in range(len(strong)):
+        if len(chosen) < LANDMARKS and (not chosen or alike[k, chosen].max() < ALIKE):
+            chosen.append(k)
+    return [strong[k] for k in chosen]
 
 
 def _evident(words: DataFrame, totals: dict[int, int]) -> list[str]:
@@ -398,12 +437,11 @@ def _evident(words: DataFrame, totals: dict[int, int]) -> list[str]:
     """
     t, c = F.col("t"), F.col("c")
     prior, share = totals[1] / (totals[0] + totals[1]), t / (t + c)
-    odds = F.log((t + 0.5) / (totals[1] + 1)) - F.log((c + 0.5) / (totals[0] + 1))
     gain = t * F.log(share / prior) + F.when(c > 0, c * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     tried = words.filter("t >= 3")
     need = float(np.log(max(1, tried.count()) / CHANCE))
-    found = tried.filter((share > prior) & (odds > 1.5) & (gain > need))
-    return [r.word for r in found.orderBy(F.desc(odds * F.sqrt("t")), "word").limit(600).select("word").collect()]
+    found = tried.filter((share > prior) & (gain > need))
+    return [r.word for r in found.orderBy(F.desc(F.round(gain, 6)), F.col("word").endswith(">"), "word").limit(CANDIDATES).select("word").collect()]
 
 
 def _rate(known: DataFrame) -> float:
@@ -415,8 +453,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); None if a class has no rows.
 
     Rows with a null label or doc_id are left out.  Of each class the SAMPLE rows
-    with the smallest hash of doc_id are read.  If no word speaks for toxic texts,
-    every text gets the share of toxic rows.
+    with the smallest hash of doc_id are read (ties by doc_id); a doc_id with both
+    labels counts as toxic.  If no word speaks for toxic texts, every text gets the
+    share of toxic rows.  Empty tables give no model.
     """
     spark = docs.sparkSession
     known = labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -428,31 +467,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     words = stage(sample.mapInArrow(_word_batches, "word string, label int").groupBy("word").agg(
         F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
-    common = words.filter("c >= 3 and c > t").orderBy(F.desc("c"), "word").limit(WORDS).collect()
-    landmarks = _landmarks(_evident(words, totals), [r.word for r in common])
+    landmarks = _landmarks(_evident(words, totals))
+    discard(words)
     if not landmarks:
         rate = _rate(known)
         return Model(Kernel([]), np.empty(0), float(np.log(rate / (1 - rate))))
     shared = spark.sparkContext.broadcast(pickle.dumps(Kernel(landmarks)))
-    near = words.mapInArrow(_near_batches(shared), words.schema).orderBy(F.desc(F.col("t") + F.col("c")), "word").limit(WORDS).collect()
-    model = learn(landmarks, [(r.word, r.t, r.c) for r in near], totals)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    rows = sample.mapInArrow(_model_batches(shared, "label", False), "label int, score double").collect()  # 2 * SAMPLE rows at most
-    rows = sorted((r.score, r.label) for r in rows)
-    model.slope, model.shift = _sigmoid(np.array([s for s, _ in rows]), np.array([1.0 if k else -1.0 for _, k in rows]))
-    return model
+    rows = sample.mapInArrow(_sample_batches(shared), "label int, hidden boolean, x binary").collect()  # 3 * SAMPLE rows at most
+    rows = sorted((r.label, r.hidden, bytes(r.x)) for r in rows)
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), -1)
+    return learn(landmarks, x, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model | None, rate: float = 0.5) -> DataFrame:
     """(doc_id, score) for each row of ``docs``; without a model every score is ``rate``.
 
     Null and empty texts have no words and the score of the bias.  Rows that
-    repeat are scored each; other columns are ignored.
+    repeat are scored each, equal texts alike; other columns are ignored; an
+    empty table gives no rows.
     """
     if model is None:
         return docs.select("doc_id", F.lit(rate).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    return docs.select("doc_id", "text").mapInArrow(_model_batches(shared, "doc_id", True), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(_score_batches(shared), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
