@@ -180,11 +180,14 @@ class Kernel:
         known, at = np.unique(number, return_inverse=True)
         self.place = np.zeros(1 << 3 * _BITS, np.int32)  # row of the table; the first one is of what no landmark has
         self.place[known] = 1 + np.arange(len(known))
-        self.table = np.zeros((1 + len(known), len(landmarks)), np.float32)
-        self.table[1 + at, row] = value
-        norm = np.sqrt((self.table**2).sum(0))
-        self.table /= np.where(norm > 0, norm, 1)
-        self.top = self.table.max(1, initial=0)[self.place]
+        norm = np.sqrt(np.bincount(row, value * value, len(landmarks)))
+        value = value / norm[row]
+        order = np.lexsort((row, at))
+        self.landmark, self.value = row[order], value[order]  # of the entries, by row of the table
+        self.first = np.searchsorted(at[order], np.arange(-1, len(known) + 1))
+        top = np.zeros(1 + len(known), np.float32)
+        np.maximum.at(top, 1 + at, value.astype(np.float32))
+        self.top = top[self.place]
 
     def bound(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         """At least the largest kernel value of each word."""
@@ -217,9 +220,12 @@ class Kernel:
                 place = np.where(ok, self.place[ids], 0)
                 row, at = np.nonzero(place)
                 if len(row):
-                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    total = np.add.reduceat(self.table[place[row, at]] * weight[at, None].astype(np.float32), first, axis=0)
-                    out[own[row[first]]] = total / np.sqrt(square[row[first]])[:, None]
+                    begin = self.first[place[row, at]]
+                    n = self.first[place[row, at] + 1] - begin
+                    entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    key = np.repeat(row * len(self.landmarks), n) + self.landmark[entry]
+                    total = np.bincount(key, self.value[entry] * np.repeat(weight[at], n), out[own].size).reshape(len(own), -1)
+                    out[own] = total / np.sqrt(np.maximum(square, 1e-9))[:, None]
         return out
 
 
@@ -243,7 +249,8 @@ class Pool:
     def __init__(self, kernel: Kernel):
         self.kernel = kernel
         self.key, self.at = np.zeros(REMEMBER, np.uint64), np.zeros(REMEMBER, np.int32)
-        self.known = np.zeros((1, len(kernel.landmarks)), np.float32)  # the first row: no landmark is near
+        self.known = np.zeros((1024, len(kernel.landmarks)), np.float32)  # the first row: no landmark is near
+        self.used = 1
 
     def values(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that are near a landmark, and by how much more than FLOOR."""
@@ -259,8 +266,11 @@ class Pool:
         new = np.flatnonzero(self.key[slot] != x.key)
         good, over = self.values(x.code[new], x.size[new])
         at[new] = 0
-        at[new[good]] = len(self.known) + np.arange(len(good))
-        self.known = np.concatenate([self.known, over])
+        at[new[good]] = self.used + np.arange(len(good))
+        while self.used + len(good) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[self.used : self.used + len(good)] = over
+        self.used += len(good)
         self.key[slot[new]], self.at[slot[new]] = x.key[new], at[new]
         return at
 
@@ -271,7 +281,7 @@ class Pool:
         x = Letters(column)
         if not len(x.size) or not n:
             return out
-        if len(self.known) > REMEMBER // 4:
+        if self.used > REMEMBER // 8:
             self.__init__(self.kernel)
         at = self._of_words(x)
         pair = np.unique(x.doc.astype(np.int64) * len(x.size) + x.of)
