@@ -7,9 +7,9 @@ from tidewire import plugins
 from tidewire.functions.waves import merge_waves, peaks, segment, slope
 from tidewire.operators import counts, model, reco, tracking, waves
 from tidewire.operators.counts import Constraint
-from tidewire.plans.filters import NO_FILTER, Filter, QueryError, all_of, build, but_not, from_json, parse_filters, parse_query, term, to_json
+from tidewire.plans.filters import MATCH_ALL, NO_FILTER, Filter, QueryError, all_of, build, but_not, from_json, parse_filters, parse_query, term, to_json
 from tidewire.plans.schema import Field, Schema
-from tidewire.plans.stream import make_stream, monotonic_time
+from tidewire.plans.stream import make_stream, mark_first, monotonic_time
 from tidewire.sources import changelog
 
 
@@ -140,7 +140,9 @@ def test_combined_scores(spark, how, want):
 
 def test_schemas():
     old, new = Field("x"), Field("x", "singleTermIndexLatest")
-    assert new.additive(old) and not old.additive(new)
+    assert not new.additive(old) and not old.additive(new) and old.additive(old)
+    assert Field("x", "singleTermIndexValueBits").additive(old) and old.additive(Field("x", "singleTermIndexValueBits")) and Field("x", "nonIndexedNonStored").additive(new)
+    assert Field("x", "singleTermNonStored").additive(old) and Field("x", "multiTermNonStored").additive(Field("x", "multiTerm")) and not Field("x", "multiTerm").additive(Field("x", "multiTermNonStored"))
     with pytest.raises(ValueError):
         Field("x", "nosuch")
 
@@ -148,3 +150,51 @@ def test_schemas():
 def test_plugins(colours):
     plugins.register_plugin("how_many", lambda s: s.df.agg(F.count("*").alias("n")), lambda parts: parts[0].union(parts[1]).agg(F.sum("n").alias("n")))
     assert plugins.ask("how_many", [colours, colours]).first().n == 20 and "how_many" in plugins.names()
+
+
+def test_copy_begins_at_the_first_later_activity(spark):
+    log = spark.createDataFrame([("t", 3, 0), ("t", 12, 1), ("t", 5, 2), ("t", 13, 3), ("x", 99, 4)], "tenant string, time bigint, seq bigint")
+    assert [(r.tenant, r.time) for r in changelog.copy(log, "t", "u", start=10).orderBy("seq").collect()] == [("u", 12), ("u", 5), ("u", 13)]
+    assert [r.time for r in changelog.copy(log, "t", "u", start=10, reverse=True).collect()] == [3]
+    assert [r.time for r in changelog.copy(log, "t", "u", start=10, step=(0, 30)).orderBy("seq").collect()] == [0, 10, 20]
+    assert changelog.copy(log, "t", "u", start=100).count() == 0
+
+
+def test_rows_of_many_values(spark):
+    df = spark.createDataFrame([(0, ["x", "y"]), (1, ["y"]), (2, ["y", "x", "y"])], "id bigint, v array<string>")
+    s = make_stream(df, Schema("s", 1, (Field("v", "multiTerm"),)), "id", F.col("id"), {"v": F.col("v")})
+    assert {r.value: r.n for r in counts.aggregate_counts(s, {"a": Constraint("v")}).collect()} == {"x": 2, "y": 3}
+    assert counts.distinct_count(s, "v").first().n == 2
+    first = mark_first(make_stream(df, Schema("s", 1, (Field("v", "multiTermIndexFirst"),)), "id", F.col("id"), {"v": F.col("v")}), "v")
+    assert [r.id for r in first.df.filter(build(all_of(term("v", "y")), first)).collect()] == [0]
+
+
+def test_peaks_percentile(spark):
+    from tidewire.operators.waves import _ranks
+
+    w = spark.createDataFrame([(str(k), [0, k, 0]) for k in range(1, 8)], "value string, waveform array<bigint>")
+    for share, want in ((0.0095, 1.0), (0.5, 4.0), (0.3, 2.4), (0.99, 7.0)):
+        plan = _ranks(w, ("PEAKS",), share)
+        assert plan.count() == 7
+        n, at = 7, share * 8
+        x = [None, *range(1, 8)]
+        assert abs(want - (1 if at < 1 else 7 if at >= n else x[int(at)] + (at - int(at)) * (x[int(at) + 1] - x[int(at)]))) < 1e-9
+
+
+def test_sums_stop_at_the_ends(spark):
+    big = (1 << 63) - 1
+    df = spark.createDataFrame([(1, 1, big), (2, 2, big)], "id bigint, t bigint, x bigint")
+    s = make_stream(df, Schema("s", 1, ()), "id", F.col("t"), {}, properties={"x": F.col("x")})
+    assert waves.metrics(s, "p_x", {"a": MATCH_ALL}, (0, 10), 1).first()["sum"] == big
+
+
+def test_wide_prefixes_lose_nothing(spark):
+    from tidewire.operators.search import full_text
+
+    df = spark.range(1500).select("id", F.array(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("v"))
+    s = make_stream(df, Schema("s", 1, (Field("v", "multiTermCardinality", prefix="wildcard"),)), "id", F.col("id"), {"v": F.col("v")})
+    for how in ("TIME", "TF_IDF"):
+        for cap in (None, 0):
+            rows, found = full_text(s, "w*", "v", None, how, max_wildcards=cap)
+            assert rows.count() == found.first().found == 1500
+    assert full_text(s, "w*", "v", None, "TF_IDF", max_wildcards=10)[1].first().found == 10

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import log_terms
-from .functions.waves import ring
+from .functions.waves import pack_order_id, ring, unpack_order_id
 from .operators import counts, model, reco, search, tracking, waves
 from .operators.counts import Constraint
 from .operators.model import Feature
@@ -127,6 +127,30 @@ def _agg_sql(where: str, count: str = "true", collect: str = "true", start: int
     return f"WITH {E}, g AS (SELECT {g} FROM e WHERE NOT removed AND {where} GROUP BY u), r AS (SELECT *, row_number() OVER (ORDER BY lid DESC)::INTEGER AS rank FROM g WHERE {collect}) SELECT 'a' AS \"constraint\", rank, value, n, latest_time, oldest_time{cols} FROM r WHERE rank > {start} AND rank <= {start + desired}"
 
 
+@query("aggregate_counts_multi", f"""WITH {O}, g AS (SELECT op.p AS value, count(*) AS n, max(op.id) AS lid, arg_max(o.t, o.id) AS latest_time, arg_min(o.t, o.id) AS oldest_time FROM op JOIN o ON o.id = op.id GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY lid DESC, value)::INTEGER AS rank FROM g) SELECT 'a' AS "constraint", rank, value, n, latest_time, oldest_time FROM r WHERE rank <= 25""")
+def aggregate_counts_multi(spark, sf_dir):
+    return counts.aggregate_counts(tables.orders(spark, sf_dir), {"a": Constraint("part", desired=25)})
+
+
+@query("distinct_count_multi", f"WITH {O} SELECT count(DISTINCT op.p) AS n FROM op JOIN o ON o.id = op.id WHERE o.p = '1-URGENT'")
+def distinct_count_multi(spark, sf_dir):
+    return counts.distinct_count(tables.orders(spark, sf_dir), "part", all_of(term("priority", "1-URGENT")))
+
+
+@query("filter_index_first", f"WITH {E} SELECT id, t AS time, u AS user, ty AS type FROM e WHERE NOT removed AND id IN (SELECT min(id) FROM e WHERE u LIKE '1%' OR u = '7' GROUP BY u)")
+def filter_index_first(spark, sf_dir):
+    from dataclasses import replace
+
+    from .plans.filters import build
+    from .plans.stream import mark_first
+
+    s = tables.events(spark, sf_dir)
+    fields = tuple(replace(f, type="singleTermIndexFirst", prefix="wildcard") if f.name == "user" else f for f in s.schema.fields)
+    s = mark_first(replace(s, schema=replace(s.schema, fields=fields)), "user").visible()
+    return s.df.filter(build(all_of(term("user", ("1", "*"), "7")), s)).select("id", "time", F.col("f_user").alias("user"), F.col("f_type").alias("type"))
+
+
 @query("aggregate_counts", _agg_sql(f"ty IN ('click', 'view') AND t > {LOW} AND t <= {HIGH}", f"t > {LOW + 10 * DAY} AND t <= {LOW + 20 * DAY}"))
 def aggregate_counts(spark, sf_dir):
     s = tables.events(spark, sf_dir)
@@ -181,11 +205,12 @@ def inbox_distinct_count(spark, sf_dir):
     return counts.distinct_count(s, "user", all_of(term("hour", "4")), inbox=tracking.inbox(s, all_of(term("type", "view"))), desired=1000)
 
 
-@query("read_events_replayed", f"""WITH {E}, r(stream_id, seq, til, op, k) AS (VALUES ('a', 1, {LOW + 20 * DAY}, 'READ', 'c'), ('a', 2, {LOW + 22 * DAY}, 'UNREAD', 'v'), ('a', 3, {LOW + 3 * DAY}, 'MARK_ALL_READ', NULL), ('b', 1, {HIGH}, 'READ', 'v')),
+@query("read_events_replayed", f"""WITH {E}, r(stream_id, seq, til, op, k) AS (VALUES ('a', 1, {LOW + 20 * DAY}, 'READ', 'c'), ('a', 2, {LOW + 22 * DAY}, 'UNREAD', 'v'), ('a', 3, {LOW + 3 * DAY}, 'MARK_ALL_READ', NULL), ('b', 1, {HIGH}, 'READ', 'v'), ('c', 1, {LOW + DAY}, 'MARK_ALL_READ', NULL)),
 x AS (SELECT stream_id, id, t, arg_max(op, seq) AS op, max(seq) AS seq FROM r JOIN e ON t <= til AND ((k = 'c' AND ty = 'click') OR (k = 'v' AND u IN ('1', '2', '3'))) GROUP BY ALL)
-SELECT stream_id, id, op = 'UNREAD' AND NOT EXISTS (SELECT 1 FROM r WHERE r.stream_id = x.stream_id AND r.op = 'MARK_ALL_READ' AND r.seq > x.seq AND r.til >= x.t) AS unread FROM x""")
+SELECT stream_id, id, op = 'UNREAD' AND NOT EXISTS (SELECT 1 FROM r WHERE r.stream_id = x.stream_id AND r.op = 'MARK_ALL_READ' AND r.seq > x.seq AND r.til >= x.t) AS unread FROM x
+UNION ALL SELECT stream_id, id, false FROM (SELECT stream_id, max(til) AS til FROM r WHERE op = 'MARK_ALL_READ' GROUP BY 1) m JOIN e ON t <= til WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.stream_id = m.stream_id AND x.id = e.id)""")
 def read_events_replayed(spark, sf_dir):
-    rows = [("a", 1, LOW + 20 * DAY, "READ", "c"), ("a", 2, LOW + 22 * DAY, "UNREAD", "v"), ("a", 3, LOW + 3 * DAY, "MARK_ALL_READ", None), ("b", 1, HIGH, "READ", "v")]
+    rows = [("a", 1, LOW + 20 * DAY, "READ", "c"), ("a", 2, LOW + 22 * DAY, "UNREAD", "v"), ("a", 3, LOW + 3 * DAY, "MARK_ALL_READ", None), ("b", 1, HIGH, "READ", "v"), ("c", 1, LOW + DAY, "MARK_ALL_READ", None)]
     readers = spark.createDataFrame(rows, "stream_id string, seq bigint, time bigint, op string, filter string")
     return tracking.replay(readers, tables.events(spark, sf_dir), {"c": all_of(term("type", "click")), "v": all_of(term("user", "1", "2", "3"))})
 
@@ -289,7 +314,9 @@ _PEAK = """list_reduce(list_prepend({{'mn': 'inf'::DOUBLE, 'mx': '-inf'::DOUBLE,
  'up': CASE WHEN s.up AND c.x < greatest(s.mx, c.x) - delta THEN false WHEN NOT s.up AND c.x > least(s.mn, c.x) + delta THEN true ELSE s.up END, 'n': s.n + CASE WHEN s.up AND c.x < greatest(s.mx, c.x) - delta THEN 1 ELSE 0 END, 'x': c.x}}).n""".replace("{{", "{").replace("}}", "}")
 
 
-@query("trending_peaks", f"WITH {E}, {_trend_base(LOW, HIGH, 20)}, dl AS (SELECT *, list_max(wave) / 6.0 + (SELECT quantile_cont(list_max(wave), 0.0095) FROM w) / 100.0 AS delta FROM w) {_trend_sql(_PEAK, 'PEAKS', source='dl')}")
+@query("trending_peaks", f"""WITH {E}, {_trend_base(LOW, HIGH, 20)}, xs AS (SELECT list_sort(list(list_max(wave)::DOUBLE)) AS x, count(*) AS n, 0.0095::DOUBLE * (count(*) + 1) AS pos FROM w),
+pc AS (SELECT CASE WHEN pos < 1 THEN x[1] WHEN pos >= n THEN x[n] ELSE x[floor(pos)::BIGINT] + (pos - floor(pos)) * (x[floor(pos)::BIGINT + 1] - x[floor(pos)::BIGINT]) END AS p FROM xs),
+dl AS (SELECT *, list_max(wave) / 6.0 + (SELECT p FROM pc) / 100.0 AS delta FROM w) {_trend_sql(_PEAK, 'PEAKS', source='dl')}""")
 def trending_peaks(spark, sf_dir):
     return waves.trending(tables.events(spark, sf_dir), "user", [("s", ("PEAKS",), (LOW, HIGH), 20, 10)]).withColumn("score", F.round("score", 6))
 
@@ -363,6 +390,13 @@ def fulltext_tfidf(spark, sf_dir):
     return out.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), F.desc("id")).limit(30)
 
 
+@query("fulltext_tfidf_prefix", f"""WITH {D}, x AS (SELECT id, lang, unnest(w) AS term FROM d), cf AS (SELECT term, count(*) AS c FROM x WHERE starts_with(term, 'a') GROUP BY 1),
+sc AS (SELECT id, sum(1.0::DOUBLE / c) AS score FROM x JOIN cf USING (term) WHERE lang = 'en' GROUP BY 1) SELECT id, id * 1000 AS time, round(score, 9) AS score FROM sc ORDER BY 3 DESC, id DESC LIMIT 40""")
+def fulltext_tfidf_prefix(spark, sf_dir):
+    out = search.full_text(tables.documents(spark, sf_dir), "a* AND lang:en", "text", None, "TF_IDF")[0]
+    return out.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), F.desc("id")).limit(40)
+
+
 @query("fulltext_wildcard", f"WITH {D} SELECT id, t AS time, 0.0::DOUBLE AS score FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'disg'))) > 0 AND lang = 'en' ORDER BY id DESC LIMIT 50")
 def fulltext_wildcard(spark, sf_dir):
     return search.full_text(tables.documents(spark, sf_dir), "disg* AND lang:en", "text", 50)[0]
@@ -452,11 +486,45 @@ def monotonic(spark, sf_dir):
     return monotonic_time(e.select(F.col("event_id").alias("id"), t.alias("t")), "id", "t", block=1 << 10)
 
 
-@query("sync_copy", f"WITH {_LOG} SELECT 'copy' AS tenant, time + 1000 AS time, version, op, seq, payload FROM l WHERE tenant = '8' AND time > 10")
+@query("sync_copy", f"WITH {_LOG} SELECT 'copy' AS tenant, time + 1000 AS time, version, op, seq, payload FROM l WHERE tenant = '8' AND seq >= (SELECT min(seq) FROM l WHERE tenant = '8' AND time > 10)")
 def sync_copy(spark, sf_dir):
     return changelog.copy(_log(spark, sf_dir), "8", "copy", start=10, shift=1000)
 
 
+@query("sync_copy_before", f"WITH {_LOG} SELECT 'copy' AS tenant, time, version, op, seq, payload FROM l WHERE tenant = '8' AND seq < coalesce((SELECT min(seq) FROM l WHERE tenant = '8' AND time > 36), 9223372036854775807)")
+def sync_copy_before(spark, sf_dir):
+    return changelog.copy(_log(spark, sf_dir), "8", "copy", start=36, reverse=True)
+
+
+@query("sync_copy_stepped", f"""WITH {_LOG}, c AS (SELECT * FROM l WHERE tenant = '8' AND seq >= (SELECT min(seq) FROM l WHERE tenant = '8' AND time > 10)), b AS (SELECT min(seq) AS lo, max(seq) - min(seq) + 1 AS n FROM c)
+SELECT 'copy' AS tenant, 5000 + ((seq - lo) * 4000) // n AS time, version, op, seq, payload FROM c, b""")
+def sync_copy_stepped(spark, sf_dir):
+    return changelog.copy(_log(spark, sf_dir), "8", "copy", start=10, step=(5000, 9000))
+
+
+@query("partition_ids", f"WITH {_LOG} SELECT tenant, seq, (seq // 700)::INTEGER AS partition_id FROM l")
+def partition_ids(spark, sf_dir):
+    return changelog.partition_ids(_log(spark, sf_dir), 700).select("tenant", "seq", "partition_id")
+
+
+@query("edge_activities", "SELECT o_custkey::VARCHAR AS tenant, o_orderkey AS time, list_filter([o_orderstatus], lambda x: x <> 'F') AS f_user, [o_orderpriority] AS f_name, [] ::VARCHAR[] AS f_origin, [o_custkey::VARCHAR] AS f_destination, ['a', o_orderstatus] AS f_tags, (o_orderkey % 7)::VARCHAR AS latency FROM orders")
+def edge_activities(spark, sf_dir):
+    o = tables.load(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))
+    rows = o.select(
+        F.col("o_custkey").cast("string").alias("tenant"), F.col("o_orderkey").alias("time"), status.alias("user"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("origin"),
+        F.col("o_custkey").cast("string").alias("destination"), F.array(F.lit("a"), F.lit(""), F.col("o_orderstatus")).alias("tags"), (F.col("o_orderkey") % 7).alias("latency"),
+    )
+    return changelog.edges(rows)
+
+
+@query("order_ids", "SELECT event_id AS id, ((epoch_us(ts) // 1000 - 1000) << 21) | ((3 << 12) | 7) AS number, epoch_us(ts) // 1000 AS ms FROM events")
+def order_ids(spark, sf_dir):
+    e = tables.load(spark, sf_dir, "events")
+    number = pack_order_id(F.expr("unix_micros(cast(ts as timestamp)) div 1000"), 3, 7, epoch=1000)
+    return e.select(F.col("event_id").alias("id"), number.alias("number"), unpack_order_id(number, epoch=1000).alias("ms"))
+
+
 @query("log_terms", "SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN ['unknown'] ELSE w END) AS term FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9'']+'), lambda x: x <> '')) AS w FROM documents)")
 def intake_terms(spark, sf_dir):
     return tables.load(spark, sf_dir, "documents").select("doc_id", F.explode(log_terms(F.col("text"))).alias("term"))

@@ -89,14 +89,11 @@ def ring(df: DataFrame, keys: list[str], time: str, width: int, n: int, offset:
     return all_buckets.join(hits, [*keys, "bucket"], "left").select(*keys, "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-ORDER_EPOCH = 1_349_734_204_785
+def pack_order_id(ms: Column, worker: int = 0, sequence: int = 0, epoch: int = 0) -> Column:
+    """A time-ordered 63-bit number: 42 bits of milliseconds since ``epoch``, 9 of the worker, 12 of the sequence."""
+    return F.shiftleft(ms - F.lit(epoch), 21).bitwiseOR(F.lit((worker << 12) | sequence).cast("bigint"))
 
 
-def pack_order_id(ms: Column, worker: int = 0, sequence: int = 0) -> Column:
-    """A time-ordered 63-bit number: 42 bits of milliseconds since the epoch above, 9 of the worker, 12 of the sequence."""
-    return F.shiftleft(ms - F.lit(ORDER_EPOCH), 21).bitwiseOR(F.lit((worker << 12) | sequence).cast("bigint"))
-
-
-def unpack_order_id(number: Column) -> Column:
+def unpack_order_id(number: Column, epoch: int = 0) -> Column:
     """The milliseconds of such a number."""
-    return F.shiftright(number, 21) + F.lit(ORDER_EPOCH)
+    return F.shiftright(number, 21) + F.lit(epoch)

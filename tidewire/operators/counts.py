@@ -39,7 +39,8 @@ def aggregate_counts(
 ) -> DataFrame:
     """For each named constraint, values of a field from the newest on, with counts and what their newest and oldest rows hold.
 
-    A value counts its rows within ``count``; it is listed if its newest row lies
+    A field of many values counts a row once for each different value.  A value
+    counts its rows within ``count``; it is listed if its newest row lies
     in ``collect`` (both ends included), the first ``start`` are skipped and
     ``desired`` kept.  With ``inbox`` (ids) only those rows are read and only
     unread ones counted.  ``unread`` holds the ids a reader has not read.
@@ -55,15 +56,15 @@ def aggregate_counts(
         counts = within(count)
         if inbox is not None:
             counts = counts & (F.col("unread") if unread is not None else F.lit(False))
-        g = own.df.withColumn("value", base.first(c.around)).filter("value is not null").groupBy("value").agg(
+        g = own.each(c.around).groupBy("value").agg(
             F.count_if(counts).alias("n"), F.max_by(got, F.col("id")).alias("latest"), F.min_by(got, F.col("id")).alias("oldest"),
             *([F.bool_or("unread").alias("any_unread")] if flags else []),
         )
         if tuple(collect) != ALL_TIME:
             g = g.filter(F.col("latest.mono_ts").between(*collect))
         # only start + desired rows pass through the window
-        top = g.orderBy(F.desc("latest.id")).limit(c.start + c.desired)
-        rn = F.row_number().over(Window.orderBy(F.desc("latest.id")))
+        top = g.orderBy(F.desc("latest.id"), "value").limit(c.start + c.desired)
+        rn = F.row_number().over(Window.orderBy(F.desc("latest.id"), "value"))
         top = top.withColumn("rank", rn).filter(F.col("rank") > c.start)
         cols = [F.lit(name).alias("constraint"), "rank", "value", "n", F.col("latest.time").alias("latest_time"), F.col("oldest.time").alias("oldest_time")]
         cols += [F.col(f"{side}.g_{g_}").alias(f"{side}_{g_}") for side in ("latest", "oldest") for g_ in c.gather]
@@ -77,12 +78,12 @@ def distinct_count(
     s: Stream, around: str, constraints: Filter = NO_FILTER, stream_filter: Filter = MATCH_ALL, bounds=ALL_TIME, desired: int | None = None,
     authz: list[str] | None = None, unread: DataFrame | None = None, unread_only: bool = False, inbox: DataFrame | None = None, approximate: bool = False,
 ) -> DataFrame:
-    """How many different (first) values a field has: one row; counting stops at ``desired`` + 1."""
+    """How many different values a field has: one row; counting stops at ``desired`` + 1."""
     own = _scope(s, MATCH_ALL if inbox is not None else stream_filter, authz, bounds, unread, unread_only)
     if constraints != NO_FILTER:
         own = own.where(build(constraints, own))
     df = own.df if inbox is None else own.df.join(inbox.select("id").distinct(), "id", "left_semi")
-    v = own.first(around)
+    df, v = Stream(df, s.schema).each(around), F.col("value")
     n = F.approx_count_distinct(v) if approximate else F.count_distinct(v)
     return df.agg((n if desired is None else F.least(n, F.lit(desired + 1))).cast("bigint").alias("n"))
 

@@ -47,7 +47,8 @@ def replay(readers: DataFrame, s: Stream, filters: dict[str, Filter]) -> DataFra
     """(stream_id, id, unread) for a table of read events (stream_id, seq, time, op, filter).
 
     Each different filter is one condition; of all events that cover a row the
-    last one holds, and rows that none covers are not listed (they are unread).
+    last one holds.  MARK_ALL_READ covers all rows up to its time.  Rows that no
+    event covers are not listed (they are unread).
     """
     hits = F.array(*(F.when(build(f, s), F.lit(k)) for k, f in filters.items()))
     rows = s.df.select("id", "time", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("filter"))
@@ -56,4 +57,7 @@ def replay(readers: DataFrame, s: Stream, filters: dict[str, Filter]) -> DataFra
     whole = readers.filter("op = 'MARK_ALL_READ'").groupBy("stream_id").agg(F.collect_list(F.struct("seq", "time")).alias("marks"))
     j = out.join(whole, "stream_id", "left").join(s.df.select("id", "time"), "id")
     later = F.exists(F.coalesce("marks", F.expr("cast(array() as array<struct<seq:bigint,time:bigint>>)")), lambda m: (m["seq"] > F.col("last.seq")) & (m["time"] >= F.col("time")))
-    return j.select("stream_id", "id", ((F.col("last.op") == "UNREAD") & ~later).alias("unread"))
+    listed = j.select("stream_id", "id", ((F.col("last.op") == "UNREAD") & ~later).alias("unread"))
+    marked = readers.filter("op = 'MARK_ALL_READ'").groupBy("stream_id").agg(F.max("time").alias("until"))
+    rest = s.df.select("id", "time").join(marked, F.col("time") <= F.col("until")).join(out, ["stream_id", "id"], "left_anti")
+    return listed.unionByName(rest.select("stream_id", "id", F.lit(False).alias("unread")))

@@ -47,10 +47,16 @@ def analytics(s: Stream, named: dict[str, Filter], score_sets: dict[str, tuple[t
     return grid.join(hits, ["score_set", "key", "bucket"], "left").select("score_set", "key", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _total(c: Column) -> Column:
+    """A sum that stops at the largest and smallest long."""
+    whole = F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.greatest(F.least(whole, F.lit(LARGEST).cast("decimal(38,0)")), F.lit(-LARGEST - 1).cast("decimal(38,0)")).cast("bigint")
+
+
 def metrics(s: Stream, value: str, named: dict[str, Filter], bounds: tuple[int, int], n: int, constraints: Filter = NO_FILTER, authz: list[str] | None = None) -> DataFrame:
-    """(key, bucket, n, sum, avg, min, max) of a whole-number column; an empty segment has average 0."""
+    """(key, bucket, n, sum, avg, min, max) of a whole-number column; an empty segment has average 0, sums stop at the longs' ends."""
     hits = keyed(_base(s, constraints, bounds, authz), named).withColumn("bucket", segment(F.col("mono_ts"), *bounds, n)).filter("bucket is not null")
-    g = hits.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
+    g = hits.groupBy("key", "bucket").agg(F.count("*").alias("n"), _total(F.col(value)).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
     j = spread(_keys(s, named), n).join(g, ["key", "bucket"], "left")
     return j.select("key", "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce(F.expr("sum div n"), F.lit(0)).alias("avg"), "min", "max")
 
@@ -88,10 +94,7 @@ def anomaly(
         named = expand_filters(s, named, *expansion, limit)
     hits = keyed(_base(s, constraints, bounds, authz), named).withColumn("bucket", segment(F.col("mono_ts"), *bounds, n)).filter("bucket is not null")
 
-    def total(c: Column) -> Column:
-        return F.least(F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")), F.lit(LARGEST).cast("decimal(38,0)")).cast("bigint")
-
-    g = hits.groupBy("key", "bucket").agg(F.count("*").alias("n"), total(F.when(F.col(value) > 0, F.col(value))).alias("p"), total(F.when(F.col(value) < 0, -F.col(value))).alias("q"))
+    g = hits.groupBy("key", "bucket").agg(F.count("*").alias("n"), _total(F.when(F.col(value) > 0, F.col(value))).alias("p"), _total(F.when(F.col(value) < 0, -F.col(value).cast("decimal(38,0)"))).alias("q"))
     g = g.select("key", "bucket", F.expr("p div n").alias("p"), F.expr("q div n").alias("q"))
     full = spread(g.select("key").distinct(), n).join(g, ["key", "bucket"], "left")
     for c in ("p", "q"):
@@ -130,8 +133,11 @@ def _ranks(waves: DataFrame, strategies: tuple[str, ...], percentile: float) ->
     top = F.array_max(w)
     cols = {}
     if "PEAKS" in strategies:
-        # of the list of every value's maximum; the percentile counts in hundredths, as the default says
-        p = waves.agg(F.expr(f"percentile(array_max(waveform), {percentile})").alias("p"))
+        # of every value's maximum, in order x_1 .. x_n, the point at percentile * (n + 1), x_1 before and x_n behind them;
+        # percentile() counts from 0 to n - 1
+        n = waves.count()
+        share = min(1.0, max(0.0, (percentile * (n + 1) - 1) / max(1, n - 1)))
+        p = waves.agg(F.expr(f"percentile(array_max(waveform), {share!r}D)").alias("p"))
         waves = waves.withColumn("p", F.lit(p.first()[0] or 0.0))
         cols["PEAKS"] = peaks(w, top / 6 + F.col("p") / 100).cast("double")
     cols |= {"LINEAR_REGRESSION": slope(w), "LEADER": F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double"), "HIGHEST_PEAK": top.cast("double")}

@@ -90,7 +90,11 @@ def _begins(f: Field, c: Column, prefix: str) -> Column:
 
 
 def _matches(f: Field, ff: FieldFilter) -> Column:
-    c = F.col(f.column)
+    if "first" in f.features:  # its index holds the first row of each value only; see mark_first
+        f = Field(f.name, "multiTerm", f.prefix, f.width, f.separator, f.parts)
+        c = F.col(f.first_column)
+    else:
+        c = F.col(f.column)
     wild = [v for v in ff.values if v and v[-1] == "*" and f.prefix != "none"]
     exact = [compose(f, v) for v in ff.values if v not in wild]
     parts = []
@@ -111,7 +115,7 @@ def build(flt: Filter, s: Stream) -> Column:
     operands: list[Column] = [~F.col("removed")] if flt.inclusive else []
     for ff in flt.fields:
         f = s.field(ff.field)
-        if f is None or "indexed" not in f.features:
+        if f is None or not f.features & {"indexed", "first", "bits"}:
             warnings.warn(f"no indexed field {ff.field}: its filter is left out", stacklevel=2)
             continue
         if ff.kind not in ("primary", "latest"):
@@ -132,6 +136,19 @@ def build(flt: Filter, s: Stream) -> Column:
     return reduce((lambda a, b: a & b) if flt.op == "and" else (lambda a, b: a | b), operands)
 
 
+def prefixes(flt: Filter, s: Stream) -> dict[tuple[str, str], int]:
+    """Net occurrences of each (field, prefix) of a filter, as occurrences() counts terms."""
+    def only(x: Filter) -> Filter:
+        fields = (replace(ff, values=tuple(v for v in ff.values if is_prefix(s.field(ff.field), v))) for ff in x.fields)
+        return replace(x, fields=tuple(fields), subs=tuple(only(y) for y in x.subs))
+
+    return {(field, prefix_of(s.field(field), tuple(v.split(SEPARATOR)))): n for (field, v), n in occurrences(only(flt)).items() if n}
+
+
+def is_prefix(f: Field | None, value: tuple[str, ...]) -> bool:
+    return f is not None and value[-1] == "*" and f.prefix != "none"
+
+
 def expand(flt: Filter, s: Stream, limit: int) -> Filter:
     """Prefixes replaced by the first ``limit`` terms of the field that have them."""
     def values(ff: FieldFilter) -> FieldFilter:

@@ -4,22 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: type -> features
+#: type -> features; a first index holds the earliest row of each value only
 TYPES: dict[str, frozenset[str]] = {
     "singleTerm": frozenset({"indexed", "stored"}),
     "singleTermNonStored": frozenset({"indexed"}),
-    "singleTermIndexLatest": frozenset({"indexed", "latest", "stored"}),
+    "singleTermIndexLatest": frozenset({"indexed", "latest"}),
     "singleTermIndexLatestNonStored": frozenset({"indexed", "latest"}),
-    "singleTermIndexFirst": frozenset({"indexed", "first", "stored"}),
+    "singleTermIndexFirst": frozenset({"first"}),
+    "singleTermIndexFirstNonStored": frozenset({"first"}),
     "multiTerm": frozenset({"indexed", "multi", "stored"}),
     "multiTermNonStored": frozenset({"indexed", "multi"}),
-    "multiTermIndexFirst": frozenset({"indexed", "first", "multi", "stored"}),
+    "multiTermIndexFirst": frozenset({"first", "multi"}),
+    "multiTermIndexFirstNonStored": frozenset({"first", "multi"}),
     "multiTermCardinality": frozenset({"indexed", "multi", "cardinality", "stored"}),
     "multiTermCardinalityNonStored": frozenset({"indexed", "multi", "cardinality"}),
-    "singleTermIndexValueBits": frozenset({"indexed", "bits", "stored"}),
+    "singleTermIndexValueBits": frozenset({"bits"}),
     "nonIndexed": frozenset({"stored"}),
     "nonIndexedNonStored": frozenset(),
 }
+#: type -> types that may become it; any type may become nonIndexedNonStored
+BECOMES = {
+    "singleTermIndexValueBits": ("singleTerm",),
+    "singleTerm": ("singleTermIndexValueBits",),
+    "singleTermNonStored": ("singleTerm", "singleTermIndexValueBits"),
+    "multiTermNonStored": ("multiTerm",),
+}
 PREFIXES = ("none", "wildcard", "raw", "numeric")
 #: A value of a field: not empty, and no longer than this.
 LONGEST_VALUE = 4096
@@ -56,10 +65,14 @@ class Field:
     def column(self) -> str:
         return f"f_{self.name}"
 
+    @property
+    def first_column(self) -> str:
+        return f"first_{self.name}"
+
     def additive(self, old: Field) -> bool:
-        """May ``old`` become this?  Features may come, but none may go; the rest stays."""
+        """May ``old`` become this?  The type may change as BECOMES lists it; the rest stays."""
         same = (self.name, self.prefix, self.width, self.separator, self.parts) == (old.name, old.prefix, old.width, old.separator, old.parts)
-        return same and self.features >= old.features and self.multi == old.multi
+        return same and (self.type in (old.type, "nonIndexedNonStored") or old.type in BECOMES.get(self.type, ()))
 
 
 @dataclass(frozen=True)
@@ -79,8 +92,9 @@ class Schema:
         return self.name == old.name and self.version >= old.version and set(old.properties) <= set(self.properties) and all((f := self.field(o.name)) is not None and f.additive(o) for o in old.fields)
 
 
-DEFAULT_SCHEMA = Schema(
-    "activityStream", 1,
-    tuple(Field(x) for x in ("objectId", "objectType", "verb", "userId", "contextId", "contextType", "targetId", "targetType", "parentId", "parentType", "rootId", "authorId", "mentionIds", "tagIds", "containerIds")),
-    ("readStreamIds",),
+#: The fields of activities, and the property that lists streams that have read one.
+ACTIVITY_FIELDS = (
+    "objectId", "viewClassName", "verbSubjectClassName", "metaClassName", "metaId", "participantIds", "activityParent", "containerId",
+    "authorId", "mentionedContainerIds", "mentionedUserIds", "tagIds", "tags", "status", "containerIds",
 )
+DEFAULT_SCHEMA = Schema("activityStream", 1, tuple(Field(x) for x in ACTIVITY_FIELDS), ("readStreamIds",))

@@ -36,6 +36,12 @@ class Stream:
         c = F.col(f.column)
         return c if f.multi else F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
 
+    def each(self, name: str) -> DataFrame:
+        """Each row once for every different value of a field, in ``value``; rows without one go."""
+        f = self.schema.field(name)
+        v = F.explode(F.array_distinct(F.col(f.column))) if f.multi else F.col(f.column)
+        return self.df.withColumn("value", v).filter("value is not null")
+
     def first(self, name: str) -> Column:
         """A field's first value, or null."""
         f = self.schema.field(name)
@@ -105,6 +111,15 @@ def mark_latest(s: Stream, field: str) -> Stream:
     return replace(s, df=s.df.join(top, "id", "left").withColumn(f"latest_{field}", F.coalesce(f"latest_{field}", F.lit(False))))
 
 
+def mark_first(s: Stream, field: str) -> Stream:
+    """Adds first_<field>, which a field with a first index is matched by: the values whose earliest row, removed or not, this is."""
+    f = s.field(field)
+    if "first" not in f.features:
+        raise ValueError(f"{field} has no first index")
+    low = s.each(field).groupBy("value").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("value").alias(f.first_column))
+    return replace(s, df=s.df.join(low, "id", "left"))
+
+
 def newest_per_value(s: Stream, field: str, first: bool = False) -> DataFrame:
     """The newest (or first) row of each value of a field."""
     rows = s.df.withColumn("value", F.explode(s.values(field)))

@@ -78,20 +78,22 @@ def edges(rows: DataFrame) -> DataFrame:
 def copy(log: DataFrame, tenant: str, target: str, start: int | None = None, shift: int = 0, step: tuple[int, int] | None = None, rows: int | None = None, reverse: bool = False) -> DataFrame:
     """A tenant's activities under another one.
 
-    From the first with time > ``start`` on (with ``reverse``, up to it).  Times
-    move by ``shift``, or with ``step`` = (from, to) are dealt evenly over that
-    interval by arrival; ``seq`` then has to be dense from 0 and ``rows`` its
-    number.
+    In order of arrival (``seq``), the first with time > ``start`` begins the copy
+    and all that come after it belong to it, late ones too; with ``reverse`` those
+    before it are copied.  Times move by ``shift``, or with ``step`` = (from, to)
+    are dealt over that interval by their distance from the first one copied;
+    ``rows`` is the number of arrivals that fill it, all that are copied if None.
     """
     own = log.filter(F.col("tenant") == tenant)
     if start is not None:
-        own = own.filter(F.col("time") <= start if reverse else F.col("time") > start)
+        begin = own.filter(F.col("time") > start).agg(F.min("seq").alias("_begin"))  # one row
+        keep = F.col("seq") < F.col("_begin") if reverse else F.col("seq") >= F.col("_begin")
+        own = own.join(F.broadcast(begin), keep if not reverse else F.coalesce(keep, F.lit(True))).drop("_begin")
     if step is not None:
-        n = rows or own.count()
-        time = F.lit(step[0]) + F.expr(f"(seq * {step[1] - step[0]}) div {max(1, n)}")
-    else:
-        time = F.col("time") + shift
-    return own.withColumn("time", time).withColumn("tenant", F.lit(target))
+        ends = own.agg(F.min("seq").alias("_low"), (F.lit(rows) if rows else F.max("seq") - F.min("seq") + 1).alias("_n"))
+        time = F.lit(step[0]) + F.expr(f"((seq - _low) * {step[1] - step[0]}) div _n")
+        return own.crossJoin(F.broadcast(ends)).withColumn("time", time).withColumn("tenant", F.lit(target)).drop("_low", "_n")
+    return own.withColumn("time", F.col("time") + shift).withColumn("tenant", F.lit(target))
 
 
 def bits_of(value: Column) -> Column:
