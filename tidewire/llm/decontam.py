@@ -106,7 +106,7 @@ def _overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     # below would otherwise move into the join and take it, and with it the seeds, out of generated code.
     near = F.expr("array_join(slice(doc_words, greatest(i - j, 0) + 1, n_item + least(i - j, 0)), ' ')")
     hits = hits.select("doc_id", "th", "item_id", (F.col("i") - F.col("j")).alias("by"), "item", near.alias("near"))
-    hits = stage(hits.groupBy("doc_id", "th", "item_id", "by").agg(F.max("item").alias("item"), F.max("near").alias("near")), "hits")
+    hits = stage(hits.groupBy("doc_id", "th", "item_id", "by").agg(F.max("item").alias("item"), F.max("near").alias("near")), "hits", done=(items, seeds))
     # few bytes that cost much work: dealt by their number, as their size would put them into one task
     hits = hits.repartition(max(1, -(-hits.count() // HITS)), "doc_id", "th", "item_id", "by")
     hits = hits.select("doc_id", "th", "item_id", "by", F.greatest(F.lit(0), -F.col("by")).alias("lo"), F.split("item", " ").alias("item_words"), F.split("near", " ").alias("near"))

@@ -501,7 +501,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     links = dealt.mapInArrow(_verify_batches, _LINKS).groupBy("cls", "cls2").agg(F.sum("links").alias("links"), F.min(partner).alias("partner"))
 
     told = classes.join(links, ["cls", "cls2"], "left").filter("copies > 1 or links is not null")
-    told = stage(told.select("cls", "cls2", "copies", "links", F.least("first", F.coalesce("partner", "first")).alias("early")), "told")
+    told = stage(told.select("cls", "cls2", "copies", "links", F.least("first", F.coalesce("partner", "first")).alias("early")), "told", done=(likely, classes))
     counted = lines.filter("line_no >= 0")
     out = lookup(counted, told, ["cls", "cls2"], "copies", counted.count())
     whole = lines.filter("line_no < 0")

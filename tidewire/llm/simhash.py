@@ -230,7 +230,7 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def _classes(marks: DataFrame) -> DataFrame:
-    """(fp, rep, n, comp): the classes of equal fingerprints; comp is a fingerprint that all linked classes share."""
+    """(fp, rep, n, comp), staged: the classes of equal fingerprints; comp is a fingerprint that all linked classes share."""
     classes = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     rows = classes.select("fp").mapInArrow(_replicas, "cell long, fp long, home boolean")
     size = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
@@ -248,7 +248,8 @@ def _classes(marks: DataFrame) -> DataFrame:
         dealt = rows.join(hot, "cell", "left").select("cell", "fp", F.explode(at).alias("at")).select("cell", "fp", "at.part", "at.home")
     dealt = dealt.select("cell", "part", "fp", "home").repartition("cell", "part").sortWithinPartitions("cell", "part", F.desc("home"))
     found = components(dealt.mapInArrow(_links, "a long, b long"))
-    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("comp"))
+    linked = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("comp"))
+    return stage(linked, "linked", done=(classes, hot))
 
 
 def _named(classes: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     has an id.
     """
     marks = _marks(docs).select("doc_id", "fp")
-    classes = stage(_classes(marks), "linked")
+    classes = _classes(marks)
     named = _named(classes).filter("n > 1 or component_id is not null")
     out = lookup(marks, named, "fp", "n", marks.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -285,7 +286,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     Null and empty texts are alike.
     """
     marks = _marks(docs.filter("doc_id is not null"))
-    classes = stage(_classes(marks.select("doc_id", "fp")), "linked")
+    classes = _classes(marks.select("doc_id", "fp"))
     firsts = marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("th", F.struct("doc_id", "th")).alias("th"))
     winners = classes.join(firsts, "fp").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("w")).select("w.doc_id", "w.th")
     rows = docs.filter("doc_id is not null").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))

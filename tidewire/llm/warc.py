@@ -328,7 +328,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     marked = _marked(rows, known, repeated)
     single = marked.filter(~F.col("maybe")).select("page_id", "url", "html", F.lit(None).cast("long").alias("winner"))
     several = lookup(marked.filter("maybe").drop("maybe"), known, "sha1", "n", total).select("page_id", "url", "html", "winner")
-    return stage(single.unionByName(several).mapInArrow(_writer(folder), "path string, records long"), "archives")
+    return stage(single.unionByName(several).mapInArrow(_writer(folder), "path string, records long"), "archives", done=(known,))
 
 
 def _marked(rows: DataFrame, known: DataFrame, repeated: int) -> DataFrame:
