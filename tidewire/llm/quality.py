@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant on document statistics.
 
 Each text becomes a vector of smoothed, transformed ratios.  Class means and
-covariances come from sums over every labelled training row, added up task by
-task; covariances are shrunk towards the pooled one and its diagonal.  A score is
+covariances come from sums over every labelled training row, added up by Spark's
+own aggregates; covariances are shrunk towards the pooled one and its diagonal.  A score is
 the sigmoid of the difference of the two Gaussian log densities, computed from
 Cholesky factors that are inverted once.
 """
@@ -100,21 +100,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
 
 
-@tidy
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, x to sums by class: (label, place, value) of 1, x and x x'."""
-    total = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
-    for batch in batches:
-        y, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-        for k in (0, 1):
-            own = x[y == k]
-            total[k] += np.r_[len(own), own.sum(0), (own.T @ own).ravel()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat([0, 1], total.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(total.shape[1]), 2).astype(np.int32)), pa.array(total.ravel())],
-        ["label", "place", "value"],
-    )
-
-
 class Discriminant:
     """Means, inverse Cholesky factors and log constants of both classes."""
 
@@ -143,14 +128,17 @@ def statistics(docs: DataFrame) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame) -> Discriminant | None:
     """The model from all rows of ``labels`` (doc_id, label 0 or 1); None if a class has no rows."""
     known = stats.join(labels.filter("label in (0, 1)"), "doc_id").select(F.col("label").cast("int").alias("label"), "x")
-    sums = known.mapInArrow(_sum_batches, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value"))
     d = len(FEATURES)
-    total = np.zeros((2, 1 + d + d * d))
-    for r in sums.collect():  # a fixed number of rows
-        total[r.label, r.place] = r.value
+    x = [F.get("x", F.lit(i)) for i in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    total, square = np.zeros((2, 1 + d)), np.zeros((2, d, d))
+    for r in known.groupBy("label").agg(F.count("*"), *(F.sum(v) for v in x), *(F.sum(x[i] * x[j]) for i, j in pairs)).collect():  # two rows at most
+        total[r[0]] = r[1 : 2 + d]
+        for (i, j), v in zip(pairs, r[2 + d :]):
+            square[r[0], i, j] = square[r[0], j, i] = v
     if (total[:, 0] < 1).any():
         return None
-    return Discriminant(total[:, 0], total[:, 1 : d + 1], total[:, d + 1 :].reshape(2, d, d))
+    return Discriminant(total[:, 0], total[:, 1:], square)
 
 
 def _score_batches(shared) -> object:
