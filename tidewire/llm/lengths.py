@@ -34,7 +34,7 @@ def _counter(path: str):
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of each row; null and empty texts have 0."""
+    """(doc_id, n_tokens) of each row, repeated and null ids too; null and empty texts have 0, other columns are ignored."""
     return docs.select("doc_id", "text").mapInArrow(_counter(path or _tokenizer_path()), "doc_id long, n_tokens long")
 
 

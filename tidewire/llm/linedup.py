@@ -514,7 +514,12 @@ def similar_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without lines that are similar to an earlier one; n_chars, if there is one, follows."""
+    """``docs`` without lines that are similar to an earlier one; n_chars, if there is one, follows.
+
+    Null and empty texts stay as they are, a text whose lines all go becomes empty,
+    repeated rows (same doc_id and text) lose the same lines, ties of doc_id are
+    taken by the hash of the text, an empty table gives no rows.
+    """
     gone = similar_lines(docs).filter("later").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), key.alias("th"))

@@ -193,7 +193,11 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of documents; null and empty texts are scored as ordinary short ones."""
+    """A row for each row of documents; null and empty texts are scored as ordinary short ones.
+
+    Equal texts have equal scores, repeated rows return as often as they come, an
+    empty table gives no rows, and other columns are ignored.
+    """
     stats, model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     s = score(stats, model)
     return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

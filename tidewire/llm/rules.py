@@ -93,7 +93,8 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """(row, statistics, base_failed, kept), a row for each row of ``docs``.
 
     base_failed: under 10 words, or over a fifth of the words lie in repeated
-    windows.  Null and empty texts have all counts zero and fail.
+    windows.  Null and empty texts have all counts zero and fail.  Values at a bound
+    pass, repeated rows are judged each, an empty table gives no rows.
     """
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     s = statistics(docs).withColumn("base_failed", failed)
