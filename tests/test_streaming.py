@@ -18,6 +18,15 @@ def test_arrival_and_ring(spark, tmp_path):
     live = streams.tail(spark, str(tmp_path / "in"), schema)
     got = run(streams.arrival_times(live, "k", "t", "seq"), "append", "arrived")
     assert [r.mono_ts for r in got.filter("k = 'a'").orderBy("seq").collect()] == [10, 20, 30, 40, 41, 45]
+    more = [("a", k, t) for k, t in enumerate([7, 7, 3, 50, 50, 49, 2, 90])]
+    spark.createDataFrame(more[:4], schema).coalesce(1).write.parquet(str(tmp_path / "two"))
+    spark.createDataFrame(more[4:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "two"))
+    last, want = -1, []
+    for _, _, t in more:
+        last = max(last + 1, t)
+        want.append(last)
+    again = run(streams.arrival_times(streams.tail(spark, str(tmp_path / "two"), schema, 2), "k", "t", "seq"), "append", "again")
+    assert [r.mono_ts for r in again.orderBy("seq").collect()] == want
     rings = run(streams.ring_counts(live, "k", "t", 10, 3), "update", "rings").filter("k = 'a'").first()
     assert rings.newest == 4 and list(rings.counts) == [1, 2, 2]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,11 +63,10 @@ def arrival_times(stream: DataFrame, key: str, time: str, order: str) -> DataFra
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
         f = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for t in f[time]:
-            last = max(last + 1, int(t))
-            out.append(last)
-        state.update((last,))
+        # out_i - i = max(last + 1, t_j - j for j <= i), counted from 0
+        at = np.arange(len(f))
+        out = at + np.maximum(np.maximum.accumulate(f[time].to_numpy(np.int64) - at), last + 1)
+        state.update((int(out[-1]),))
         yield pd.DataFrame({key: k[0], order: f[order].to_numpy(), time: f[time].to_numpy(), "mono_ts": out})
 
     kinds = dict(stream.dtypes)
